@@ -162,9 +162,9 @@ SELECT d.vec_id, d.id, d.source, d."group", d.family, d.subset, d.primitive, d.l
   max(p.p) AS top, max(p.p) FILTER (p.key = d.label) AS p_gold,
   -ln(greatest(max(p.p) FILTER (p.key = d.label), 1e-12)) AS nll,
   sum((p.p - CASE WHEN p.key = d.label THEN 1 ELSE 0 END) ** 2) AS brier_multiclass,
-  CASE WHEN d.primitive = 'noul' THEN (max(p.p) FILTER (p.key = '1') - d.label::INT) ** 2 END AS brier_binary,
-  CASE WHEN d.primitive = 'score' THEN abs(sum((p.pos - 1) * p.p) - d.label::INT) END AS score_mae,
-  CASE WHEN d.primitive = 'score' THEN sum((p.cum - CASE WHEN d.label::INT <= p.pos - 1 THEN 1 ELSE 0 END) ** 2)
+  CASE WHEN d.primitive = 'noul' THEN (max(p.p) FILTER (p.key = '1') - try_cast(d.label AS INT)) ** 2 END AS brier_binary,
+  CASE WHEN d.primitive = 'score' THEN abs(sum((p.pos - 1) * p.p) - try_cast(d.label AS INT)) END AS score_mae,
+  CASE WHEN d.primitive = 'score' THEN sum((p.cum - CASE WHEN try_cast(d.label AS INT) <= p.pos - 1 THEN 1 ELSE 0 END) ** 2)
        FILTER (p.pos < d.k) / (d.k - 1) END AS rps,
   CASE WHEN d.primitive = 'score' THEN sum((p.pos - 1) * p.p) END AS ev,
   CASE WHEN d.vec_id % 5 = 0 THEN 0.5 * sum(abs(p.p - p.h)) END AS human_tvd,
@@ -172,7 +172,7 @@ SELECT d.vec_id, d.id, d.source, d."group", d.family, d.subset, d.primitive, d.l
 FROM fx_decisions d JOIN (
   SELECT q.*, sum(q.p) OVER (PARTITION BY q.vec_id ORDER BY q.pos) AS cum, h.h
   FROM fx_p_{which} q JOIN fx_human h ON h.vec_id = q.vec_id AND h.key = q.key) p ON p.vec_id = d.vec_id
-GROUP BY ALL) s""")
+GROUP BY d.vec_id, d.id, d.source, d."group", d.family, d.subset, d.primitive, d.label, d.k) s""")
 
 
 view("fx_human", """
