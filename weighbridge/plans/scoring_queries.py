@@ -12,6 +12,7 @@ from weighbridge.operators.prompts import reverse_options
 from weighbridge.operators.readout import Calibration, answers
 from weighbridge.plans.fixtures import decisions, r6, run, table, traces
 from weighbridge.plans.registry import query, view
+from weighbridge.session import cut
 
 M = ops.METRICS
 
@@ -21,6 +22,14 @@ def scored(spark, d, which: str) -> DataFrame:
     return ops.score_records(items.drop("e", "k"), run(items, which))
 
 
+NARROW = ("id", "source", "subset", "family", "group", "primitive", "label", "labels", "p", "chosen", "reason", "correct", "p_gold", "top_probability", *M)
+
+
+def kept(spark, d, which: str) -> DataFrame:
+    """Scored rows without their texts, written once: several reports read them."""
+    return cut(scored(spark, d, which).select(*NARROW))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """All floating-point columns at six decimals."""
     return df.select(*[r6(f.name).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
@@ -197,6 +206,10 @@ def items(spark, d) -> DataFrame:
     return cmp.paired_items(scored(spark, d, "old"), scored(spark, d, "new"))
 
 
+def kept_items(spark, d) -> DataFrame:
+    return cut(items(spark, d))
+
+
 view("fx_items", """
 SELECT o.id, o.source, o.subset, o.family, o."group", o.primitive, o.k AS n_options, length(d.state) AS state_chars, o.correct AS o, n.correct AS w,
   CASE WHEN o.valid THEN o.p_gold END AS old_prob_gold, CASE WHEN n.valid THEN n.p_gold END AS new_prob_gold,
@@ -223,7 +236,7 @@ def _e17(spark, d):
 
 @query("e18_paired_difference")
 def _e18(spark, d):
-    pairs = items(spark, d)
+    pairs = kept_items(spark, d)
     overall = cmp.paired_difference(pairs).withColumn("source", F.lit("overall"))
     return rounded(overall.unionByName(cmp.paired_difference(pairs, "source")))
 
@@ -278,7 +291,7 @@ SELECT p.direction, p.measure, n, round(q1, 6) AS q1, round(median, 6) AS median
 FROM ({percentile_sql('SELECT * FROM s', 'direction, measure', {'q1': 0.25, 'median': 0.5, 'q3': 0.75})}) p
 JOIN (SELECT direction, measure, avg(v) AS mean FROM s GROUP BY ALL) a ON a.direction = p.direction AND a.measure = p.measure""")
 def _e22(spark, d):
-    return rounded(cmp.flip_confidence(items(spark, d)))
+    return rounded(cmp.flip_confidence(kept_items(spark, d)))
 
 
 @query("e23_group_consistency", """
@@ -450,7 +463,7 @@ _CHANGES = " UNION ALL ".join(
 SELECT scope, metric, round(x, 6) AS previous, round(y, 6) AS current, round(y - x, 6) AS delta,
   CASE WHEN metric = 'accuracy' THEN y - x < -1e-12 ELSE y - x > 1e-12 END AS worse, denominators_match FROM ({_CHANGES}) WHERE x IS NOT NULL AND y IS NOT NULL""")
 def _e29(spark, d):
-    return rounded(cmp.metric_changes(full_report(scored(spark, d, "old")), full_report(scored(spark, d, "new"))))
+    return rounded(cmp.metric_changes(full_report(kept(spark, d, "old")), full_report(kept(spark, d, "new"))))
 
 
 _LAT = lambda factor, absent: percentile_sql(f"SELECT 's' || (vec_id % 5) AS \"group\", 40.0 + (vec_id * {factor}) % 97 AS v FROM embeddings WHERE vec_id % {absent} <> 0", '"group"', _LATENCY)
@@ -469,8 +482,8 @@ def _e30(spark, d):
 
 @query("e31_release_gates")
 def _e31(spark, d):
-    old, new = scored(spark, d, "old"), scored(spark, d, "new")
-    pairs = cmp.paired_items(old, new)
+    old, new = kept(spark, d, "old"), kept(spark, d, "new")
+    pairs = cut(cmp.paired_items(old, new))
     overall = lambda s: full_report(s).filter(F.col("scope") == "overall")
     return rounded(cmp.release_gates(cmp.paired_difference(pairs), cmp.paired_difference(pairs.filter(F.col("source") == "s4")), cmp.paired_difference(pairs, "source"), overall(old), overall(new)))
 

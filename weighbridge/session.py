@@ -20,6 +20,19 @@ SETTINGS = {
 BROADCAST_ROWS = 2_000_000
 
 
+def local_session(cores: int = 8, partitions: int = 8, memory: str = "16g") -> SparkSession:
+    """A session for tests and benchmarks on one machine; a cluster brings its own."""
+    spark = (
+        SparkSession.builder.master(f"local[{cores}]").appName("weighbridge")
+        .config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory)
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        # Call-site capture per column expression is most of the time it takes to build a wide plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return configure(spark)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on; partition counts are left to the cluster."""
     for key, value in SETTINGS.items():
