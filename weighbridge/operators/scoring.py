@@ -32,13 +32,18 @@ def score_records(records: DataFrame, predictions: DataFrame, allow_rounding: bo
     records: id, primitive, question, label, and optionally soft; other columns pass through.
     """
     pred = predictions.select("id", F.col("error").alias("_error"), F.col("answer").alias("_answer"), "latency_ms", F.lit(True).alias("_has"))
-    j = records.join(pred, "id", "left")
+    return score_joined(records.join(pred, "id", "left"), allow_rounding)
+
+
+def score_joined(j: DataFrame, allow_rounding: bool = False) -> DataFrame:
+    """score_records after its join: record columns with _has, _error, _answer and latency_ms. Batch or stream."""
+    columns = j.columns
     primitive, label = F.col("primitive"), F.col("label")
     j = j.withColumn("labels", expected_labels(F.col("question")))
     j = j.withColumn("_d", answer_distribution(primitive, F.col("_answer"), F.col("labels"), allow_rounding))
     j = j.withColumn("p", F.col("_d.p"))
     labels, p = F.col("labels"), F.col("p")
-    soft = human_distribution(F.col("soft"), labels) if "soft" in records.columns else F.struct(
+    soft = human_distribution(F.col("soft"), labels) if "soft" in columns else F.struct(
         F.lit(None).cast("array<double>").alias("h"), F.lit(None).cast("string").alias("reason"))
     j = j.withColumn("_h", soft).withColumn("chosen", chosen(primitive, F.col("_answer.choice"), labels, p))
     at = F.array_position(labels, label)

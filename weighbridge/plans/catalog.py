@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from weighbridge.plans import contamination_queries, scoring_queries, selection_queries  # noqa: F401
+from weighbridge.plans import contamination_queries, conversion_queries, scoring_queries, selection_queries  # noqa: F401
 from weighbridge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
