@@ -32,12 +32,12 @@ def usable(records: DataFrame, predictions: DataFrame, canonical: bool = False)
     )
 
 
-def _noul_loss(temperature: float, noul_temperature: float, bias: float) -> Column:
+def _noul_loss(temperature, noul_temperature, bias) -> Column:
     yes = yes_probability(F.element_at(F.col("traces"), 1)["logits"], temperature, noul_temperature, bias)
     return _loss(F.when(F.col("label") == "1", yes).otherwise(1 - yes))
 
 
-def _choice_loss(temperature: float) -> Column:
+def _choice_loss(temperature) -> Column:
     return _loss(F.element_at(distribution(F.col("traces"), temperature), F.col("gold")))
 
 
@@ -51,30 +51,22 @@ def mean_nll(records: DataFrame, predictions: DataFrame, calibration: Calibratio
         F.count("loss").alias("n"), F.count_if(~F.col("usable")).alias("rejected"), F.avg("loss").alias("nll"))
 
 
-def _trials(records: DataFrame, predictions: DataFrame, temperatures: Sequence[float], biases: Sequence[float], canonical: bool) -> DataFrame:
-    """One row holding every trial's mean loss; a row of data meets every grid point while it is in memory."""
-    rows = usable(records, predictions, canonical)
-    ok, noul = F.col("usable"), F.col("kind") == "noul"
-    grid = [(t, b) for t in temperatures for b in biases]
-    losses = rows.select(
-        "kind", "usable", F.when(ok & ~noul, F.array(*[_choice_loss(t) for t in temperatures])).alias("c"),
-        F.when(ok & noul, F.array(*[_noul_loss(1.0, t, b) for t, b in grid])).alias("b"),
-    )
-    choice = [F.struct(F.avg(F.col("c")[i]).alias("nll"), F.lit(abs(t - 1)).alias("tie"), F.lit(t).alias("t")) for i, t in enumerate(temperatures)]
-    binary = [F.struct(F.avg(F.col("b")[i]).alias("nll"), F.lit(abs(b)).alias("tie"), F.lit(t).alias("t"), F.lit(b).alias("bias")) for i, (t, b) in enumerate(grid)]
-    return losses.agg(
-        F.array(*choice).alias("choice"), F.array(*binary).alias("binary"), F.count("c").alias("choice_score_records"),
-        F.count("b").alias("noul_records"), F.count_if(~ok).alias("rejected"),
-    )
-
-
 def grid_trials(records: DataFrame, predictions: DataFrame, temperatures: Sequence[float] = TEMPERATURES, biases: Sequence[float] = BIASES,
                 canonical: bool = False) -> DataFrame:
-    """Every trial: kind, temperature, bias, mean loss."""
-    row = _trials(records, predictions, temperatures, biases, canonical)
-    choice = row.select(F.explode("choice").alias("x")).select(F.lit("choice_score").alias("kind"), F.col("x.t").alias("temperature"), F.lit(0.0).alias("bias"), F.col("x.nll").alias("nll"))
-    binary = row.select(F.explode("binary").alias("x")).select(F.lit("noul").alias("kind"), F.col("x.t").alias("temperature"), F.col("x.bias").alias("bias"), F.col("x.nll").alias("nll"))
-    return choice.unionByName(binary)
+    """Every trial: kind, temperature, bias, mean loss, replayed and rejected rows.
+
+    One pass: a row meets every grid point while it is in memory, and the losses collapse to one sum per point
+    inside each task before anything is shuffled.
+    """
+    rows = usable(records, predictions, canonical)
+    point = lambda t, b, loss: F.struct(t.alias("temperature"), b.alias("bias"), loss.alias("loss"))
+    ts, bs = (F.array(*[F.lit(float(x)) for x in xs]) for xs in (temperatures, biases))
+    none = F.lit(None).cast("double")
+    choice = F.transform(ts, lambda t: point(t, F.lit(0.0), F.when(F.col("usable"), _choice_loss(t)).otherwise(none)))
+    binary = F.flatten(F.transform(ts, lambda t: F.transform(bs, lambda b: point(t, b, F.when(F.col("usable"), _noul_loss(F.lit(1.0), t, b)).otherwise(none)))))
+    each = rows.select("kind", F.explode(F.when(F.col("kind") == "noul", binary).otherwise(choice)).alias("x")).select("kind", "x.*")
+    return each.groupBy("kind", "temperature", "bias").agg(
+        F.avg("loss").alias("nll"), F.count("loss").alias("n"), (F.count(F.lit(1)) - F.count("loss")).alias("rejected"))
 
 
 def fit_grid(records: DataFrame, predictions: DataFrame, temperatures: Sequence[float] = TEMPERATURES, biases: Sequence[float] = BIASES,
@@ -85,18 +77,23 @@ def fit_grid(records: DataFrame, predictions: DataFrame, temperatures: Sequence[
     effective temperature and the bias, so both searches share the pass; ties go to the smaller bias, then to the
     yes/no temperature nearest 1. A grid without 1.0 or bias 0 has no 'before' loss.
     """
-    row = _trials(records, predictions, temperatures, biases, canonical).withColumn("_c", F.array_min("choice"))
-    ranked = F.transform("binary", lambda x: F.struct(
-        x["nll"].alias("nll"), x["tie"].alias("bias_tie"), F.abs(x["t"] / F.col("_c.t") - 1).alias("t_tie"), x["t"].alias("t"), x["bias"].alias("bias")))
-    row = row.withColumn("_b", F.array_min(ranked))
-    before = lambda c, keep: F.element_at(F.transform(F.filter(c, keep), lambda x: x["nll"]), 1)
-    has_one, has_zero = 1.0 in temperatures, 0.0 in biases
-    none = F.lit(None).cast("double")
+    noul, t, b = F.col("kind") == "noul", F.col("temperature"), F.col("bias")
+    trials = grid_trials(records, predictions, temperatures, biases, canonical)
+    # The trial table has one row per grid point, so gathering it into one row is a fixed hundred entries.
+    row = trials.agg(
+        F.min(F.when(~noul, F.struct("nll", F.abs(t - 1).alias("tie"), t.alias("t")))).alias("_c"),
+        F.collect_list(F.when(noul, F.struct("nll", t.alias("t"), b.alias("b")))).alias("_all"),
+        F.max(F.when(~noul, F.col("n"))).alias("choice_score_records"), F.max(F.when(noul, F.col("n"))).alias("noul_records"),
+        (F.coalesce(F.max(F.when(~noul, F.col("rejected"))), F.lit(0)) + F.coalesce(F.max(F.when(noul, F.col("rejected"))), F.lit(0))).alias("rejected"),
+        F.max(F.when(~noul & (t == 1.0), F.col("nll"))).alias("before_choice_score_nll"),
+        F.max(F.when(noul & (t == 1.0) & (b == 0.0), F.col("nll"))).alias("before_noul_nll"),
+    )
+    ordered = F.transform("_all", lambda x: F.struct(
+        x["nll"].alias("nll"), F.abs(x["b"]).alias("bias_tie"), F.abs(x["t"] / F.col("_c.t") - 1).alias("t_tie"), x["t"].alias("t"), x["b"].alias("b")))
+    row = row.withColumn("_b", F.array_min(ordered))
     return row.select(
-        F.col("_c.t").alias("temperature"), (F.col("_b.t") / F.col("_c.t")).alias("noul_temperature"), F.col("_b.bias").alias("noul_bias"),
-        "choice_score_records", "noul_records", "rejected",
-        (before("choice", lambda x: x["t"] == 1.0) if has_one else none).alias("before_choice_score_nll"),
-        (before("binary", lambda x: (x["t"] == 1.0) & (x["bias"] == 0.0)) if has_one and has_zero else none).alias("before_noul_nll"),
+        F.col("_c.t").alias("temperature"), (F.col("_b.t") / F.col("_c.t")).alias("noul_temperature"), F.col("_b.b").alias("noul_bias"),
+        "choice_score_records", "noul_records", "rejected", "before_choice_score_nll", "before_noul_nll",
         F.col("_c.nll").alias("after_choice_score_nll"), F.col("_b.nll").alias("after_noul_nll"),
     )
 

@@ -4,6 +4,7 @@ from weighbridge.plans import (  # noqa: F401
     contamination_queries,
     conversion_queries,
     feed_queries,
+    line_queries,
     readout_queries,
     scoring_queries,
     selection_queries,

@@ -187,15 +187,15 @@ def solutions(spark, d) -> DataFrame:
     q, s, n = F.col("l_quantity").cast("bigint"), F.col("p_size").cast("bigint"), F.col("l_linenumber").cast("bigint")
     x, y = q * s, q * s + n
     t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    key = F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    key = F.concat_ws("-", *[F.col(f"l_{c}").cast("string") for c in ("orderkey", "linenumber", "partkey", "suppkey")])
     return table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.lit("train").alias("split"), key.alias("row"), t("A box holds ", q, " packs of ", s, " parts and ", n, " spare parts. How many parts?").alias("question"),
         t("The packs hold ", q, "*", s, "=<<", q, "*", s, "=", x, ">>", x, " parts.\nIn total ", x, "+", n, "=<<", x, "+", n, "=", y, ">>", y, " parts.\n#### ", y).alias("answer"))
 
 
 _VARIANT = f"""
-SELECT l_orderkey * 16 + l_linenumber AS row, l_quantity::BIGINT AS q, p_size::BIGINT AS s, l_linenumber::BIGINT AS n,
-  {hex_mod_sql(f"sha256('{SEED}|worked|train|' || (l_orderkey * 16 + l_linenumber))", 6)} AS six FROM lineitem JOIN part ON p_partkey = l_partkey"""
+SELECT l_quantity::BIGINT AS q, p_size::BIGINT AS s, l_linenumber::BIGINT AS n,
+  {hex_mod_sql(f"sha256('{SEED}|worked|train|' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey)", 6)} AS six FROM lineitem JOIN part ON p_partkey = l_partkey"""
 view("fx_worked", f"SELECT *, CASE WHEN six % 2 = 0 THEN 'gold' ELSE ['final_wrong', 'step_wrong', 'step_wrong_propagated'][1 + six // 2] END AS variant FROM ({_VARIANT})")
 
 

@@ -112,7 +112,7 @@ def samples(events: DataFrame) -> DataFrame:
     hour = F.hour("ts")
     phase = F.when(hour < 6, "load").when(hour < 12, "warmup").when(hour < 18, "mixed").otherwise("synthetic")
     used = F.round(F.col("value") * 100).cast("bigint")
-    return events.select("event_id", "ts", phase.alias("phase"), used.alias("used"), (F.lit(24000) - used).alias("free"))
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), phase.alias("phase"), used.alias("used"), (F.lit(24000) - used).alias("free"))
 
 
 view("fx_samples", """
@@ -132,7 +132,8 @@ def _g01(spark, d):
 
 def streamed_windows(spark, d) -> DataFrame:
     path = f"{d}/events.parquet"
-    stream = samples(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+    # A pattern, because a stream reads folders or patterns, and the table may be either a file or a folder.
+    stream = samples(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*"))
     return feeds.drain(feeds.telemetry_windows(stream), feeds.scratch(spark, "telemetry"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.operators import calibration as cal
 from weighbridge.operators import checkpoints as ckpt
-from weighbridge.operators.readout import Calibration, answers, prompt_hashes, replay, replay_audit
+from weighbridge.operators.readout import Calibration, answers, replay, replay_audit, told_prompts
 from weighbridge.plans.fixtures import decisions, run, table, traces
 from weighbridge.plans.registry import query, view
 from weighbridge.plans.scoring_queries import chunk_traces, chunked, rounded
@@ -50,12 +50,10 @@ def recorded(spark, d) -> tuple[DataFrame, DataFrame]:
     small = traces(decisions(spark, d), 0)
     both = small.unionByName(chunk_traces(chunked(spark, d), 0))
     v = F.col("vec_id")
-    static = prompt_hashes(F.col("state"), F.col("question"))
-    from weighbridge.operators.readout import final_prompt_hash
-
-    last = final_prompt_hash(F.col("state"), F.col("question"), F.col("traces"))
-    told = F.when(F.size("traces") > 1, F.concat(static, F.array(last))).otherwise(static)
+    told = F.col("prompt_hashes")
     hashed = F.zip_with("traces", F.when(v % 31 == 0, F.transform(told, lambda h: F.concat(h, F.lit("x")))).otherwise(told), lambda t, h: t.withField("prompt_sha256", h))
+    both = told_prompts(both).withColumn("_hashed", hashed).drop("_o")
+    hashed = F.col("_hashed")
     tampered = F.when(v % 29 == 0, F.concat(hashed, F.slice(hashed, 1, 1))).when(v % 23 == 0, F.transform(hashed, lambda t: t.withField("logits", F.slice(t["logits"], 2, F.size(t["logits"]) - 1)))).otherwise(hashed)
     runs = answers(both.withColumn("traces", tampered)).select(
         "id", F.when(v % 37 == 0, "timeout").alias("error"), F.when(v % 19 == 0, F.lit("other")).otherwise(F.col("input_sha256")).alias("input_sha256"), "answer", "traces")
@@ -117,7 +115,7 @@ def _k01(spark, d):
 @query("k02_grid_trials", """
 SELECT 'choice_score' AS kind, t AS temperature, 0.0::DOUBLE AS bias, round(nll, 6) AS nll FROM fx_choice_trials UNION ALL SELECT 'noul', t, b, round(nll, 6) FROM fx_noul_trials""")
 def _k02_trials(spark, d):
-    return rounded(cal.grid_trials(*_runs(spark, d)))
+    return rounded(cal.grid_trials(*_runs(spark, d)).select("kind", "temperature", "bias", "nll"))
 
 
 def _fit_sql(noul: str) -> str:
