@@ -140,7 +140,7 @@ def _c06(spark, d):
     is_open = F.when(F.col("o_orderstatus") == "O", "true").otherwise("false")
     answers = F.concat(F.lit('{"open": '), F.when(k % 19 == 0, F.concat(F.lit('"'), is_open, F.lit('"'))).otherwise(is_open), F.lit(', "status": "'), F.col("o_orderstatus"),
                        F.lit('", "urgency": '), (k % 3).cast("string"), F.lit("}"))
-    rows = table(spark, d, "orders").select(
+    rows = table(spark, d, "orders", "o_orderkey").select(
         k.cast("string").alias("upstream_id"), F.col("o_orderpriority").alias("family"), F.lit(3).alias("n_questions"),
         F.to_json(F.struct(k.alias("order"), F.col("o_totalprice").alias("total"))).alias("state"), questions.alias("questions"), answers.alias("answers"))
     out = conv.convert_scenarios(rows, "scenes", "medium")[0]
@@ -188,7 +188,7 @@ def solutions(spark, d) -> DataFrame:
     x, y = q * s, q * s + n
     t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     key = F.concat_ws("-", *[F.col(f"l_{c}").cast("string") for c in ("orderkey", "linenumber", "partkey", "suppkey")])
-    return table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")).select(
+    return table(spark, d, "lineitem", "l_orderkey").join(table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.lit("train").alias("split"), key.alias("row"), t("A box holds ", q, " packs of ", s, " parts and ", n, " spare parts. How many parts?").alias("question"),
         t("The packs hold ", q, "*", s, "=<<", q, "*", s, "=", x, ">>", x, " parts.\nIn total ", x, "+", n, "=<<", x, "+", n, "=", y, ">>", y, " parts.\n#### ", y).alias("answer"))
 

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weighbridge.plans.registry import view
+from weighbridge.session import spread
 
 SEED = "weighbridge-2026"
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def table(spark: SparkSession, d: str, name: str, *spread_by: str) -> DataFrame:
+    """A given table; heavy queries name a key to spread a single-file table over the cores."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df, *spread_by) if spread_by else df
 
 
 def r6(c) -> Column:
@@ -23,7 +26,7 @@ def r6(c) -> Column:
 # --- documents as labelled records -------------------------------------------------------------------------
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    docs, labels = table(spark, d, "documents", "doc_id"), table(spark, d, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("id"), "doc_id", "source",
         F.col("text").alias("state"), F.sha2("text", 256).alias("state_sha256"),
@@ -86,7 +89,7 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
     keys = F.when(kind == 2, F.array(F.lit("0"), F.lit("1"))).otherwise(F.transform(F.col("question.options"), lambda o: o["key"]))
     # v and its hash stand in for the state text and its identity.
     state = F.concat(F.lit("Vector "), v.cast("string"), F.lit(" of cluster "), lab.cast("string"))
-    return table(spark, d, "embeddings").select(
+    return table(spark, d, "embeddings", "vec_id").select(
         "vec_id", F.concat(F.lit("v/"), v.cast("string")).alias("id"),
         F.concat(F.lit("s"), (v % 5).cast("string")).alias("source"),
         F.concat(F.lit("g"), F.floor(v / 3).cast("string")).alias("group"),

@@ -24,7 +24,7 @@ def line_records(spark, d) -> DataFrame:
     options = F.array(*[F.struct(F.lit(str(i)).alias("key"), F.lit(None).cast("string").alias("description")) for i in range(LEVELS)])
     primitive = F.when(even, "choice").otherwise("score")
     ids = F.concat_ws("/", *[F.col(f"l_{c}").cast("string") for c in ("orderkey", "linenumber", "partkey", "suppkey")])
-    return table(spark, d, "lineitem").select(
+    return table(spark, d, "lineitem", "l_orderkey").select(
         ids.alias("id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")).alias("source"), F.col("l_orderkey").cast("string").alias("group"),
         primitive.alias("primitive"), F.struct(primitive.alias("type"), F.lit("").alias("instructions"), options.alias("options")).alias("question"),
         label.cast("string").alias("label"), ids.alias("input_sha256"))

@@ -65,3 +65,13 @@ def broadcast_if_small(df: DataFrame, rows: int | None, limit: int = BROADCAST_R
     if rows is not None and rows <= limit:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-split a freshly read table that arrives in fewer pieces than there are cores.
+
+    A table of many files comes back as it is; one small file would otherwise keep all work before the first
+    shuffle in a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
