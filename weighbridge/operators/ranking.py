@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weighbridge.session import broadcast_if_small, cut
+
 PREFIX = 3  # hex digits
+ACCURACY = 50_000  # of the approximate quantiles that bracket a rank
+GROUPS_BROADCAST = 100_000
 
 
 def ranked(df: DataFrame, by: list[str], order: str, tie: str, limit: Column | int | None = None,
@@ -38,26 +42,45 @@ def ranked(df: DataFrame, by: list[str], order: str, tie: str, limit: Column | i
     return out.drop("_piece", "_before")
 
 
+def _attach(rows: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """Put a materialised one-row-per-group table beside the rows; without groups its single row becomes literals."""
+    if by:
+        return rows.join(broadcast_if_small(small, small.count(), GROUPS_BROADCAST), by)
+    one = small.first()
+    for field in small.schema:
+        value = F.lit(None) if one is None or one[field.name] is None else _literal(one[field.name])
+        rows = rows.withColumn(field.name, value.cast(field.dataType))
+    return rows
+
+
+def _literal(value) -> Column:
+    if isinstance(value, list):
+        return F.array(*[_literal(v) for v in value])
+    if hasattr(value, "asDict"):
+        return F.struct(*[_literal(v).alias(k) for k, v in value.asDict().items()])
+    return F.lit(value)
+
+
 def rank_percentile(df: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Per group: n and the value at sorted index round((n-1)*f), half to even, for every named fraction."""
+    """Per group: n and the value at sorted index round((n-1)*f), half to even, for every named fraction.
+
+    Three passes of partial aggregates: approximate quantiles bracket every wanted rank, exact counts place the
+    rank inside its bracket, and only the distinct values of the bracket (a ten-thousandth of a group) are sorted.
+    """
     names = list(fractions)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    keys = by or ["_all"]
-    if not by:
-        rows = rows.withColumn("_all", F.lit(0))
     # An approximate quantile is off by at most n/accuracy ranks; the bracket allows for twice that.
-    accuracy, slack = 2000, 2 / 2000
-    lows = [max(0.0, f - slack) for f in fractions.values()]
-    highs = [min(1.0, f + slack) for f in fractions.values()]
-    bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", lows, accuracy).alias("_lo"), F.percentile_approx("_v", highs, accuracy).alias("_hi")
-    )
-    counted = rows.join(bounds, keys)
-    exact = counted.groupBy(*keys).agg(
+    lows = [max(0.0, f - 2 / ACCURACY) for f in fractions.values()]
+    highs = [min(1.0, f + 2 / ACCURACY) for f in fractions.values()]
+    bounds = cut(rows.groupBy(*by).agg(
+        F.percentile_approx("_v", lows, ACCURACY).alias("_lo"), F.percentile_approx("_v", highs, ACCURACY).alias("_hi")
+    ))
+    each = range(len(names))
+    exact = _attach(rows, bounds, by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
-        F.array(*[F.count_if(F.col("_v") < F.col("_lo")[i]) for i in range(len(names))]).alias("_below"),
-        F.array(*[F.count_if(F.col("_v") <= F.col("_hi")[i]) for i in range(len(names))]).alias("_upto"),
+        F.array(*[F.count_if(F.col("_v") < F.col("_lo")[i]) for i in each]).alias("_below"),
+        F.array(*[F.count_if(F.col("_v") <= F.col("_hi")[i]) for i in each]).alias("_upto"),
     )
     wanted = [F.rint((F.col("n") - 1) * F.lit(f)).cast("bigint") for f in fractions.values()]
     # Should a bracket miss its rank, the whole range takes its place: slower, still exact.
@@ -66,21 +89,16 @@ def rank_percentile(df: DataFrame, by: list[str], value: str, fractions: dict[st
                F.struct(F.col("_lo")[i].alias("lo"), F.col("_hi")[i].alias("hi"),
                         (wanted[i] - F.col("_below")[i]).alias("at")))
         .otherwise(F.struct(F.col("_min").alias("lo"), F.col("_max").alias("hi"), wanted[i].alias("at")))
-        for i in range(len(names))
+        for i in each
     ]
-    plan = exact.select(*keys, "n", F.array(*slots).alias("_slots"))
-    near = rows.join(plan.select(*keys, "_slots"), keys).filter(
-        F.exists("_slots", lambda s: (F.col("_v") >= s["lo"]) & (F.col("_v") <= s["hi"]))
-    )
-    tallies = near.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_slots").alias("_slots"))
-    each = tallies.select(*keys, "_v", "_c", F.posexplode("_slots").alias("_i", "_s")).filter(
-        (F.col("_v") >= F.col("_s.lo")) & (F.col("_v") <= F.col("_s.hi"))
-    )
-    running = Window.partitionBy(*keys, "_i").orderBy("_v")
-    hit = each.withColumn("_cum", F.sum("_c").over(running)).filter(
+    plan = cut(exact.select(*by, "n", F.array(*slots).alias("_slots")))
+    inside = lambda s: (F.col("_v") >= s["lo"]) & (F.col("_v") <= s["hi"])
+    near = _attach(rows, plan.drop("n"), by).filter(F.exists("_slots", inside))
+    tallies = near.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_slots").alias("_slots"))
+    placed = tallies.select(*by, "_v", "_c", F.posexplode("_slots").alias("_i", "_s")).filter(inside(F.col("_s")))
+    running = Window.partitionBy(*by, "_i").orderBy("_v")
+    hit = placed.withColumn("_cum", F.sum("_c").over(running)).filter(
         (F.col("_cum") > F.col("_s.at")) & (F.col("_cum") - F.col("_c") <= F.col("_s.at"))
     )
-    wide = hit.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)]
-    )
-    return plan.select(*keys, "n").join(wide, keys).drop("_all")
+    wide = hit.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)])
+    return plan.select(*by, "n").join(wide, by) if by else _attach(wide, plan.select("n"), by).select("n", *names)

@@ -360,7 +360,7 @@ def missing_ids(selected: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def split_manifest(df: DataFrame) -> DataFrame:
     """Rows, share of the split and an order-free content checksum, per split and per (split, source)."""
-    mark = F.conv(F.substring(F.md5(F.concat_ws("|", "id", "state_sha256")), 1, 8), 16, 10).cast("bigint")
+    mark = F.conv(F.substring(F.md5(F.concat_ws("|", "id", "state_sha256")), 1, 8), 16, 10).cast("decimal(20,0)")
     counted = df.withColumn("_m", mark).groupingSets([["split", "source"], ["split"]], "split", "source").agg(
         F.count(F.lit(1)).alias("records"), F.sum("_m").alias("checksum"), F.grouping("source").alias("_total")
     )

@@ -85,9 +85,9 @@ def _s07(spark, d):
     return inv.inventory_compare(actual, manifest.unionByName(lost), "name", "rows", "checksum")
 
 
-@query("s07_content_fingerprint", "SELECT source, count(*) AS rows, sum(('0x' || substr(md5(id || '|' || state_sha256), 1, 8))::BIGINT)::BIGINT AS checksum FROM fx_records GROUP BY source")
+@query("s07_content_fingerprint", "SELECT source, count(*) AS rows, sum(('0x' || substr(md5(id || '|' || state_sha256), 1, 8))::BIGINT)::VARCHAR AS checksum FROM fx_records GROUP BY source")
 def _s07_table(spark, d):
-    return inv.content_fingerprint(records(spark, d), ["id", "state_sha256"], ["source"])
+    return inv.content_fingerprint(records(spark, d), ["id", "state_sha256"], ["source"]).withColumn("checksum", F.col("checksum").cast("string"))
 
 
 @query("s08_prior_crawl", """

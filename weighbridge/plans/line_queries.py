@@ -23,7 +23,9 @@ def line_records(spark, d) -> DataFrame:
     even = F.col("l_orderkey") % 2 == 0
     options = F.array(*[F.struct(F.lit(str(i)).alias("key"), F.lit(None).cast("string").alias("description")) for i in range(LEVELS)])
     primitive = F.when(even, "choice").otherwise("score")
-    ids = F.concat_ws("/", *[F.col(f"l_{c}").cast("string") for c in ("orderkey", "linenumber", "partkey", "suppkey")])
+    # The four keys repeat now and then; with the quantity a line is unique.
+    parts = [F.col(f"l_{c}") for c in ("orderkey", "linenumber", "partkey", "suppkey")] + [F.col("l_quantity").cast("int")]
+    ids = F.concat_ws("/", *[c.cast("string") for c in parts])
     return table(spark, d, "lineitem", "l_orderkey").select(
         ids.alias("id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")).alias("source"), F.col("l_orderkey").cast("string").alias("group"),
         primitive.alias("primitive"), F.struct(primitive.alias("type"), F.lit("").alias("instructions"), options.alias("options")).alias("question"),
@@ -49,7 +51,7 @@ def _line_view(salt: str, lean: float, failing: str) -> None:
     view(f"fx_line_p_{salt}", f"""
 SELECT id, i, label, source, grp, primitive, failed, logit, exp(logit) / sum(exp(logit)) OVER (PARTITION BY id) AS p FROM (
   SELECT l.*, u.i, 4 * (('0x' || substr(md5(id || '|{salt}|' || u.i), 1, 8))::BIGINT / 4294967296) + CASE WHEN label = u.i THEN {lean} ELSE 0 END AS logit, substr(md5(id), 1, 2) = '{failing}' AS failed
-  FROM (SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS id, 's' || (l_suppkey % 7) AS source, l_orderkey::VARCHAR AS grp,
+  FROM (SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || l_quantity::INT AS id, 's' || (l_suppkey % 7) AS source, l_orderkey::VARCHAR AS grp,
           CASE WHEN l_orderkey % 2 = 0 THEN 'choice' ELSE 'score' END AS primitive,
           (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END * 2 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END) % 5 AS label FROM lineitem) l, unnest(range(0, 5)) AS u(i))""")
     view(f"fx_line_{salt}", f"""

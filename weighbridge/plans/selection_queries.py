@@ -137,11 +137,11 @@ def _d05(spark, d):
 
 @query("s10_split_manifest", _STAGED + """
 SELECT split, coalesce(source, '*') AS source, count(*) AS records,
-  round(count(*) / max(max(n)) OVER (PARTITION BY split), 6) AS share, sum(m)::BIGINT AS checksum
+  round(count(*) / max(max(n)) OVER (PARTITION BY split), 6) AS share, sum(m)::VARCHAR AS checksum
 FROM (SELECT c.*, count(*) OVER (PARTITION BY split) AS n, ('0x' || substr(md5(id || '|' || state_sha256), 1, 8))::BIGINT AS m FROM chosen c)
 GROUP BY GROUPING SETS ((split, source), (split))""")
 def _s10(spark, d):
-    return ops.split_manifest(staged(records(spark, d))).withColumn("share", r6("share"))
+    return ops.split_manifest(staged(records(spark, d))).withColumns({"share": r6("share"), "checksum": F.col("checksum").cast("string")})
 
 
 # --- balanced yes/no -----------------------------------------------------------------------------------------

@@ -33,7 +33,7 @@ def content_fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str]
     """Order-free fingerprint: row count and the sum of 32-bit row hashes, per group."""
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("bigint")).alias("checksum"))
+        F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("decimal(20,0)")).alias("checksum"))
 
 
 def inventory_compare(actual: DataFrame, manifest: DataFrame, name: str, size: str, checksum: str) -> DataFrame:
