@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from weighbridge.functions import text as T
 from weighbridge.operators import contamination as con
+from weighbridge.session import scratch
 from weighbridge.sources import inventory as inv
 from weighbridge.sources import records as src
-from weighbridge.streaming.feeds import scratch
 
 
 def one(spark, value, f, kind="string"):

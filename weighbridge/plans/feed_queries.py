@@ -10,6 +10,7 @@ from weighbridge.plans.conversion_queries import _REASON, MODELS, requests
 from weighbridge.plans.fixtures import decisions, r6, records, run, source_order, table
 from weighbridge.plans.registry import query, view
 from weighbridge.plans.scoring_queries import M, rounded
+from weighbridge.session import scratch
 from weighbridge.sources import inventory as inv
 from weighbridge.sources import records as src
 from weighbridge.streaming import feeds
@@ -19,7 +20,7 @@ RECORD = "id string, source string, state string, label string"
 
 def _written(spark, d, compression: str | None = None) -> DataFrame:
     """The records written as a split and read back."""
-    path = feeds.scratch(spark, "split") + "/train.jsonl"
+    path = scratch(spark, "split") + "/train.jsonl"
     src.write_split(records(spark, d).select("id", "source", "state", "label"), path, compression)
     out = src.read_records(spark, path, RECORD)
     # One gzip file is one task; spread its rows before any further work.
@@ -61,7 +62,7 @@ def _s04(spark, d):
 
 @query("s05_write_split", "SELECT count(*) AS rows, count(label) AS labelled, true AS refused_to_overwrite FROM fx_records")
 def _s05(spark, d):
-    path = feeds.scratch(spark, "split") + "/train.jsonl"
+    path = scratch(spark, "split") + "/train.jsonl"
     rows = records(spark, d).select("id", "source", "state", "label")
     src.write_split(rows, path)
     try:
@@ -95,7 +96,7 @@ SELECT CASE doc_id % 4 WHEN 0 THEN 'train' ELSE 'eval' END AS kind, CASE doc_id
   CASE doc_id % 4 WHEN 1 THEN sha256(to_json(state)::VARCHAR) WHEN 0 THEN state_sha256 ELSE state_sha256 END AS state_sha256 FROM fx_records WHERE doc_id % 4 < 3
 UNION SELECT 'train', 'train.jsonl', id || '/original', NULL FROM fx_records WHERE doc_id % 4 = 0""")
 def _s08(spark, d):
-    root = feeds.scratch(spark, "prior")
+    root = scratch(spark, "prior")
     recs = records(spark, d)
     slot = F.col("doc_id") % 4
     src.write_split(recs.filter(slot == 0).select("id", F.concat("id", F.lit("/original")).alias("record_id"), "state_sha256"), f"{root}/v1/train.jsonl")
@@ -134,7 +135,7 @@ def streamed_windows(spark, d) -> DataFrame:
     path = f"{d}/events.parquet"
     # A pattern, because a stream reads folders or patterns, and the table may be either a file or a folder.
     stream = samples(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*"))
-    return feeds.drain(feeds.telemetry_windows(stream), feeds.scratch(spark, "telemetry"))
+    return feeds.drain(feeds.telemetry_windows(stream), scratch(spark, "telemetry"))
 
 
 @query("g01_telemetry_stream", "SELECT epoch(window_start)::BIGINT AS window_start, phase, samples, max_used, max_delta, min_free FROM fx_windows")
@@ -160,19 +161,19 @@ def _g02(spark, d):
     recs = decisions(spark, d)
     at = F.timestamp_seconds(F.lit(1767225600) + (F.col("vec_id") % 2880) * 60)
     feed = run(recs, "new").join(recs.select("id", at.alias("ts")), "id").select("id", "ts", "error", "answer", "latency_ms")
-    folder = feeds.scratch(spark, "predictions")
+    folder = scratch(spark, "predictions")
     # Every prediction is delivered twice; the watermark removes the copy.
     feed.unionByName(feed).write.parquet(folder)
     stream = src.prediction_stream(spark, folder, feed.schema, "parquet")
     static = recs.drop("e", "k", "vec_id", "group", "family", "subset", "state", "input_sha256")
-    sums = feeds.drain(feeds.streaming_metrics(stream, static), feeds.scratch(spark, "metrics"))
+    sums = feeds.drain(feeds.streaming_metrics(stream, static), scratch(spark, "metrics"))
     return rounded(feeds.running_report(sums))
 
 
 @query("g03_stream_validate", f"SELECT request_id, {_REASON} AS reasons FROM fx_requests")
 def _g03(spark, d):
     rows = requests(spark, d)
-    folder = feeds.scratch(spark, "requests")
+    folder = scratch(spark, "requests")
     rows.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
     feeds.validate_stream(stream, MODELS, f"{folder}/valid", f"{folder}/bad", f"{folder}/state").awaitTermination()
@@ -185,10 +186,10 @@ def _g03(spark, d):
 def _s11(spark, d):
     recs = decisions(spark, d)
     feed = run(recs, "new").select("id", "error", "latency_ms").join(recs.select("id", "source"), "id")
-    folder = feeds.scratch(spark, "feed")
+    folder = scratch(spark, "feed")
     src.write_split(feed, folder)
     stream = src.prediction_stream(spark, folder, feed.schema)
-    return feeds.drain(stream.select("id", "source"), feeds.scratch(spark, "arrived"))
+    return feeds.drain(stream.select("id", "source"), scratch(spark, "arrived"))
 
 
 # --- vector blocks -------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in the shared place."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder so later rounds neither recompute it nor lose it with an executor."""
+    """Write df to the shared folder and read it back.
+
+    Later steps neither recompute it nor lose it with an executor, and its real size is known to the optimizer.
+    The work runs once, where a checkpoint would run it twice.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None, limit: int = BROADCAST_ROWS) -> DataFrame:
