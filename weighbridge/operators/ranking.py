@@ -6,6 +6,8 @@ rank with approximate quantiles and then count exactly. Both are exact whatever
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,7 +95,9 @@ def rank_percentile(df: DataFrame, by: list[str], value: str, fractions: dict[st
     ]
     plan = cut(exact.select(*by, "n", F.array(*slots).alias("_slots")))
     inside = lambda s: (F.col("_v") >= s["lo"]) & (F.col("_v") <= s["hi"])
-    near = _attach(rows, plan.drop("n"), by).filter(F.exists("_slots", inside))
+    # Spelled out per slot: a higher-order condition over both join sides is not kept above the join.
+    any_slot = reduce(lambda a, b: a | b, [inside(F.col("_slots")[i]) for i in each])
+    near = _attach(rows, plan.drop("n"), by).filter(any_slot)
     tallies = near.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_slots").alias("_slots"))
     placed = tallies.select(*by, "_v", "_c", F.posexplode("_slots").alias("_i", "_s")).filter(inside(F.col("_s")))
     running = Window.partitionBy(*by, "_i").orderBy("_v")
