@@ -33,6 +33,7 @@ def ngram_contamination(df: DataFrame, evaluation: DataFrame, text: str = "text"
             F.count("g").alias("grams"), F.count("_hit").alias("_suspect"))
     )
     suspects = counted.filter(F.col("_suspect") > 0).select("id")
+    suspects = broadcast_if_small(suspects, suspects.count())  # so that no text shuffles to find them
     eval_grams = evaluation.select(F.explode(ngrams(F.col(text), n)).alias("g")).distinct()
     shown = df.select("id", text).join(suspects, "id", "left_semi").select("id", F.explode(ngrams(F.col(text), n)).alias("g"))
     hits = shown.join(broadcast_if_small(eval_grams, bound, BROADCAST_ROWS // 10), "g", "left_semi").groupBy("id").agg(

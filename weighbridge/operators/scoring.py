@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from weighbridge.functions.probability import (
     FLOOR, argmax, chosen, expected_labels, human_distribution, total, tvd, valid_probabilities, wilson_high, wilson_low,
 )
-from weighbridge.functions.text import let
 from weighbridge.operators.ranking import rank_percentile
 
 METRICS = ("nll", "brier_multiclass", "brier_binary", "score_mae", "rps", "human_tvd")
@@ -62,11 +61,16 @@ def score_joined(j: DataFrame, allow_rounding: bool = False) -> DataFrame:
     ok = F.col("reason").isNull()
     gold = F.element_at(p, at.cast("int"))
     ordinal = ok & (primitive == "score")
-    gap = F.zip_with(
-        let(p, lambda a: F.transform(a, lambda _, i: total(F.slice(a, 1, i + 1)))),
-        labels, lambda cum, k: F.pow(cum - F.when(label.cast("int") <= k.cast("int"), 1.0).otherwise(0.0), F.lit(2)),
-    )
     cuts = F.size(p) - 1
+    # Ranked probability score: squared gaps between the running sum and the step at the label, over the cut points.
+    start = F.struct(F.lit(0.0).alias("cum"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"))
+
+    def cut_point(acc: Column, x: Column) -> Column:
+        cum = acc["cum"] + x
+        gap = cum - F.when(label.cast("int") <= acc["i"], 1.0).otherwise(0.0)
+        return F.struct(cum.alias("cum"), (acc["sum"] + gap * gap).alias("sum"), (acc["i"] + 1).alias("i"))
+
+    squared_gaps = F.aggregate(F.slice(p, F.lit(1), cuts), start, cut_point, lambda acc: acc["sum"])
     brier = total(F.transform(p, lambda x, i: F.pow(x - F.when(i == at - 1, 1.0).otherwise(0.0), F.lit(2))))
     out = j.withColumns({
         "correct": F.coalesce(ok & (F.col("chosen") == label), F.lit(False)),
@@ -76,7 +80,7 @@ def score_joined(j: DataFrame, allow_rounding: bool = False) -> DataFrame:
         "brier_multiclass": F.when(ok, brier),
         "brier_binary": F.when(ok & (primitive == "noul"), F.pow(F.element_at(p, 2) - label.cast("int"), F.lit(2))),
         "score_mae": F.when(ordinal, F.abs(total(F.transform(p, lambda x, i: x * i)) - label.cast("double"))),
-        "rps": F.when(ordinal, total(F.slice(gap, 1, cuts)) / cuts),
+        "rps": F.when(ordinal, squared_gaps / cuts),
         "human_tvd": F.when(ok, tvd(p, F.col("_h.h"))),
     })
     return out.drop("_error", "_answer", "_has", "_d", "_h")
