@@ -194,7 +194,7 @@ def solutions(spark, d) -> DataFrame:
 
 
 _VARIANT = f"""
-SELECT l_quantity::BIGINT AS q, p_size::BIGINT AS s, l_linenumber::BIGINT AS n,
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS row, l_quantity::BIGINT AS q, p_size::BIGINT AS s, l_linenumber::BIGINT AS n,
   {hex_mod_sql(f"sha256('{SEED}|worked|train|' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey)", 6)} AS six FROM lineitem JOIN part ON p_partkey = l_partkey"""
 view("fx_worked", f"SELECT *, CASE WHEN six % 2 = 0 THEN 'gold' ELSE ['final_wrong', 'step_wrong', 'step_wrong_propagated'][1 + six // 2] END AS variant FROM ({_VARIANT})")
 
@@ -204,9 +204,24 @@ def _c09(spark, d):
     return planted.planted_errors(solutions(spark, d), SEED).select("id", "variant", "label", "step", "reason", "state")
 
 
-@query("c10_skip_report", """
-SELECT variant, CASE WHEN variant LIKE 'step%' AND q * s = q * s + n THEN 'every intermediate equals the final answer'
-  WHEN variant LIKE 'step%' AND q * s IN (q, s, n) THEN 'step value appears in the problem' ELSE '' END AS reason, count(*) AS rows FROM fx_worked GROUP BY ALL""")
+_SKIPPED = """CASE WHEN variant LIKE 'step%' AND q * s = q * s + n THEN 'every intermediate equals the final answer'
+  WHEN variant LIKE 'step%' AND q * s IN (q, s, n) THEN 'step value appears in the problem' ELSE '' END"""
+
+
+# In these two-step solutions a wrong final answer shows twice, a wrong step once, and a carried error in four places.
+@query("c09_changed_numbers", f"""
+SELECT row, variant, CASE variant WHEN 'gold' THEN '1' ELSE '0' END AS label, {_SKIPPED} AS reason,
+  CASE WHEN {_SKIPPED} = '' THEN CASE variant WHEN 'gold' THEN 0 WHEN 'final_wrong' THEN 2 WHEN 'step_wrong' THEN 1 ELSE 4 END END AS changed FROM fx_worked""")
+def _c09_changed(spark, d):
+    given = solutions(spark, d)
+    plain = F.concat(F.regexp_replace(F.substring_index("answer", "\n#### ", 1), planted.MARKUP, ""), F.lit("\nAnswer: "), F.substring_index("answer", "\n#### ", -1))
+    both = planted.planted_errors(given, SEED).join(given.select("row", plain.alias("plain")), "row")
+    numbers = lambda c: F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit(planted.NUMBER), F.lit(0))
+    differ = F.filter(F.zip_with(numbers("plain"), numbers(F.get_json_object("state", "$.response")), lambda a, b: ~a.eqNullSafe(b)), lambda x: x)
+    return both.select("row", "variant", "label", F.coalesce("reason", F.lit("")).alias("reason"), F.when(F.col("reason").isNull(), F.size(differ)).alias("changed"))
+
+
+@query("c10_skip_report", f"SELECT variant, {_SKIPPED} AS reason, count(*) AS rows FROM fx_worked GROUP BY ALL")
 def _c10(spark, d):
     return planted.skip_report(planted.planted_errors(solutions(spark, d), SEED))
 
