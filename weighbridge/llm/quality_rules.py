@@ -23,7 +23,7 @@ SKETCH_K = 400
 MIN_GROUP = 100  # rows from which a (language, source) has limits of its own
 
 # Ratio -> least distance of a limit from the median: a group of equal values has no spread to go by.
-RATIOS = {"symbols": 0.05, "dup_lines": 0.2, "repeats": 0.2, "word_length": 1.5}
+RATIOS = {"symbols": 0.05, "dup_lines": 0.5, "repeats": 0.35, "word_length": 3.0}
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
