@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.llm import quality_rules
+from weighbridge.llm import quality_rules, shards
 from weighbridge.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -15,3 +15,9 @@ def op6_quality_rules(spark, sf_dir):
     judged = quality_rules.quality_filter(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                          F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("op7_shards")
+def op7_shards(spark, sf_dir):
+    dealt = shards.balanced_shards(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
