@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.llm import quality_rules, shards
+from weighbridge.llm import quality_rules, secrets, shards
 from weighbridge.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -21,3 +21,11 @@ def op6_quality_rules(spark, sf_dir):
 def op7_shards(spark, sf_dir):
     dealt = shards.balanced_shards(table(spark, sf_dir, "documents"))
     return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_secrets")
+def op8_secrets(spark, sf_dir):
+    found = secrets.secret_scan(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", *[number(k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(secrets.span_text("base"), 256).alias("base_sha256"),
+                        secrets.span_text("spans").alias("spans"), "unread")
