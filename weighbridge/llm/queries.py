@@ -4,12 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.llm import quality_rules, secrets, shards
+from weighbridge.llm import bpe, quality_rules, secrets, shards
+from weighbridge.llm.flat import picked
 from weighbridge.llm.registry import ORACLES, QUERIES, query, table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query("op4_bpe")
+def op4_bpe(spark, sf_dir):
+    coder = bpe.ByteBPE(spark, tokenizer_path())
+    docs = picked(table(spark, sf_dir, "documents"), "doc_id", "text")
+    encoded = docs.select("doc_id", coder.encode("text").alias("ids"))
+    decoded = encoded.withColumn("decoded", coder.decode("ids"))
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op6_quality_rules")
 def op6_quality_rules(spark, sf_dir):
     judged = quality_rules.quality_filter(table(spark, sf_dir, "documents"))

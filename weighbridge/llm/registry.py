@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weighbridge.session import configure
 
+# Rows of an Arrow batch: texts may be long, and a batch is in memory on both sides.
+BATCH_ROWS = "512"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,7 +20,8 @@ def query(name: str, oracle: str | None = None):
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+            return fn(spark, sf_dir)
 
         run.__name__ = name
         QUERIES[name] = run
