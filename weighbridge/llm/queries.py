@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.llm import bpe, quality_rules, secrets, shards
+from weighbridge.llm import bpe, language_id, quality_classifier, quality_rules, secrets, shards
 from weighbridge.llm.flat import picked
 from weighbridge.llm.registry import ORACLES, QUERIES, query, table
 
@@ -48,3 +48,24 @@ def op8_secrets(spark, sf_dir):
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
     return found.select("doc_id", *[number(k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(secrets.span_text("base"), 256).alias("base_sha256"),
                         secrets.span_text("spans").alias("spans"), "unread")
+
+
+def remainder(n: int):
+    """crc32 of the id as text, modulo n; a null id has remainder 0 of the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.train(*language_id.training_sample(docs.filter(remainder(4) != 2)))
+    out = language_id.predict(docs, net)
+    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = remainder(5) != 0
+    model = quality_classifier.train(docs.filter(learned), labels.filter(learned))
+    return quality_classifier.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
