@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.llm import bpe, language_id, quality_classifier, quality_rules, secrets, shards
+from weighbridge.llm import bpe, language_id, quality_classifier, quality_rules, secret_scan, shards
 from weighbridge.llm.flat import picked
 from weighbridge.llm.registry import ORACLES, QUERIES, query, table
 
@@ -44,10 +44,10 @@ def op7_shards(spark, sf_dir):
 
 @query("op8_secrets")
 def op8_secrets(spark, sf_dir):
-    found = secrets.secret_scan(table(spark, sf_dir, "documents"))
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
-    return found.select("doc_id", *[number(k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(secrets.span_text("base"), 256).alias("base_sha256"),
-                        secrets.span_text("spans").alias("spans"), "unread")
+    return found.select("doc_id", *[number(k).alias(f"n_{k}") for k in secret_scan.KINDS], F.sha2(secret_scan.span_text("base"), 256).alias("base_sha256"),
+                        secret_scan.span_text("spans").alias("spans"), "unread")
 
 
 def remainder(n: int):
