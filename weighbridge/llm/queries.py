@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.llm import bpe, language_id, quality_classifier, quality_rules, secret_scan, shards
+from weighbridge.llm import bpe, language_id, near_dup, quality_classifier, quality_rules, secret_scan, shards
 from weighbridge.llm.flat import picked
 from weighbridge.llm.registry import ORACLES, QUERIES, query, table
 
@@ -69,3 +69,8 @@ def op10_quality_classifier(spark, sf_dir):
     learned = remainder(5) != 0
     model = quality_classifier.train(docs.filter(learned), labels.filter(learned))
     return quality_classifier.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op1_near_duplicates")
+def op1_near_duplicates(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
