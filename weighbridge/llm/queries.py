@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.llm import bpe, language_id, near_dup, quality_classifier, quality_rules, secret_scan, shards
+from weighbridge.llm import bpe, decontaminate, language_id, near_dup, quality_classifier, quality_rules, secret_scan, shards
 from weighbridge.llm.flat import picked
 from weighbridge.llm.registry import ORACLES, QUERIES, query, table
 
@@ -74,3 +74,9 @@ def op10_quality_classifier(spark, sf_dir):
 @query("op1_near_duplicates")
 def op1_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows", "matched", "coverage", "changed")
