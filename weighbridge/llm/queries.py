@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.llm import bpe, decontaminate, language_id, near_dup, quality_classifier, quality_rules, secret_scan, shards
+from weighbridge.llm import bpe, decontaminate, language_id, near_dup, private_data, quality_classifier, quality_rules, secret_scan, shards
 from weighbridge.llm.flat import picked
 from weighbridge.llm.registry import ORACLES, QUERIES, query, table
 
@@ -80,3 +80,13 @@ def op1_near_duplicates(spark, sf_dir):
 def op2_decontamination(spark, sf_dir):
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows", "matched", "coverage", "changed")
+
+
+# The key of a deployment is its secret; this one makes the query's result repeatable.
+SURROGATE_KEY = b"surrogates of the registered query"
+
+
+@query("op3_surrogates")
+def op3_surrogates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return private_data.with_surrogates(docs, SURROGATE_KEY)
