@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.llm import bpe, decontaminate, language_id, near_dup, private_data, quality_classifier, quality_rules, secret_scan, shards
+from weighbridge.llm import bpe, decontaminate, language_id, near_dup, private_data, quality_classifier, quality_rules, quotations, secret_scan, shards
 from weighbridge.llm.flat import picked
 from weighbridge.llm.registry import ORACLES, QUERIES, query, table
 
@@ -90,3 +90,46 @@ SURROGATE_KEY = b"surrogates of the registered query"
 def op3_surrogates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return private_data.with_surrogates(docs, SURROGATE_KEY)
+
+
+QUOTED = 3  # earlier turns that a message of the derived mailbox quotes
+
+
+def mailbox(spark, sf_dir):
+    """The conversations as a mailbox without thread headers: every turn quotes the turns before it, nested, re-spaced and introduced."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.struct("text", "role")).alias("m")).select(
+        "conv_id", "turn", F.col("m.role").alias("role"), F.coalesce("m.text", F.lit("")).alias("text"))
+    out = turns.select("conv_id", "turn", "role", "text")
+    for k in range(1, QUOTED + 1):
+        earlier = turns.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("role").alias(f"r{k}"), F.col("text").alias(f"q{k}"))
+        out = out.join(earlier, ["conv_id", "turn"], "left")
+    # The attribution of level k stands on level k - 1, the passage on level k.
+    part = lambda k: F.concat(F.lit("\n" + "> " * (k - 1)), F.initcap(f"r{k}"), F.lit(" wrote:\n"), F.regexp_replace(F.regexp_replace(f"q{k}", " ", "  "), "(?m)^", ">" * k + " "))
+    body = F.concat(F.col("text"), *[F.coalesce(part(k), F.lit("")) for k in range(1, QUOTED + 1)])
+    return out.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("message_id"), "role", body.alias("body"))
+
+
+@query("op9_quotations", """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, conv_id * 100000 + turn AS id, (min({'t': text, 'r': role})).r AS role, coalesce((min({'t': text, 'r': role})).t, '') AS text
+  FROM conversations GROUP BY conv_id, turn),
+chain AS (
+  SELECT a.id, a.role, a.text, b.id AS before, lower(trim(regexp_replace(a.text, '\\s+', ' ', 'g'))) AS n0,
+    lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) AS n1, lower(trim(regexp_replace(c.text, '\\s+', ' ', 'g'))) AS n2
+  FROM turns a LEFT JOIN turns b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 LEFT JOIN turns c ON a.conv_id = c.conv_id AND a.turn = c.turn + 2),
+f1 AS (SELECT n0, min(id) AS id FROM chain GROUP BY n0),
+f2 AS (SELECT n0, n1, min(id) AS id FROM chain WHERE n1 IS NOT NULL GROUP BY n0, n1),
+f3 AS (SELECT n0, n1, n2, min(id) AS id FROM chain WHERE n2 IS NOT NULL GROUP BY n0, n1, n2),
+links AS (
+  SELECT m.id, CASE WHEN p.n1 IS NULL THEN f1.id WHEN p.n2 IS NULL THEN f2.id ELSE f3.id END AS parent
+  FROM chain m LEFT JOIN chain p ON p.id = m.before LEFT JOIN f1 ON f1.n0 = p.n0
+  LEFT JOIN f2 ON f2.n0 = p.n0 AND f2.n1 = p.n1 LEFT JOIN f3 ON f3.n0 = p.n0 AND f3.n1 = p.n1 AND f3.n2 = p.n2),
+walk AS (
+  SELECT id, id AS root, 0 AS depth FROM links WHERE parent IS NULL
+  UNION ALL SELECT l.id, w.root, w.depth + 1 FROM links l JOIN walk w ON l.parent = w.id)
+SELECT w.id AS message_id, w.root AS conversation_id, l.parent AS parent_id, row_number() OVER (PARTITION BY w.root ORDER BY w.depth, w.id) - 1 AS position,
+  w.depth, c.role, trim(c.text, E' \\n\\t') AS text
+FROM walk w JOIN links l USING (id) JOIN chain c USING (id)
+""")
+def op9_quotations(spark, sf_dir):
+    return quotations.link_quotations(mailbox(spark, sf_dir))
