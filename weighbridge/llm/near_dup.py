@@ -263,6 +263,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return found.select(F.col("id").alias(doc_id), F.when(F.col("id").isNotNull(), F.coalesce("root", "node", "id")).alias("class_id"))
 
 
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs with the least id of their class, one of rows that repeat an id; rows with a null id stay. All columns stay."""
+    classes = cut(near_duplicates(docs, text, doc_id))
+    gone = cut(classes.filter(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("_gone")).distinct())
+    kept = docs.join(broadcast_if_small(gone, gone.count()), F.col(doc_id) == F.col("_gone"), "left_anti")
+    repeated = classes.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.filter(F.col(doc_id).isNull()))
+
+
 def _spread_roots(roots: DataFrame) -> DataFrame:
     return broadcast_if_small(roots, roots.count())
 

@@ -287,12 +287,12 @@ def attempts(real: DataFrame, key: bytes) -> DataFrame:
         trial = cut(draw(left, attempt))
 
 
-def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """docs with text replaced and n_entities added (mentions replaced); all other columns are carried, one of that name is replaced.
+def with_surrogates(docs: DataFrame, key: bytes, text: str = "text", count: str = "n_entities") -> DataFrame:
+    """docs with text replaced and count added (mentions replaced); all other columns are carried, one of that name is replaced.
 
     A null text stays null. Equal texts get equal results; an empty table stays empty.
     """
-    rows = picked(docs.drop("n_entities"), *[c for c in docs.columns if c != "n_entities"])
+    rows = picked(docs, *[c for c in docs.columns if c != count])
     redrawn = cut(attempts(cut(entities(rows, text)), key))
     n = redrawn.count()
     if n:
@@ -302,7 +302,7 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFram
     else:
         keyed = rows.withColumn("_again", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     names = rows.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["n_entities int"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{count} int"])
 
     def run(batches):
         finder, known, maker = Mentions(), _name_hashes(), Surrogates(key)
@@ -322,7 +322,7 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFram
                         at = end
                     out[i], counts[i] = "".join(pieces) + t[at:], len(found)
                 columns = [pa.array(out, pa.string()) if c == text else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], names=[*names, "n_entities"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], names=[*names, count])
 
     return keyed.select(*names, "_again").mapInArrow(run, schema)
 

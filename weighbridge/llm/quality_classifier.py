@@ -167,13 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return fit(np.concatenate([r[1] for r in lists]) if lists else np.zeros(0, np.int32), bounds, y)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep plus score (probability of class 1) and predicted, a row for every row, from the text alone.
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+          names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """keep plus score (probability of class 1) and predicted, under names, a row for every row, from the text alone.
 
     A text without tokens, null included, gets the score of the bias. keep may hold the text itself; other columns are left out.
     """
     rows = picked(docs, *dict.fromkeys([*keep, text]))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + ["score double, predicted int"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + [f"{names[0]} double, {names[1]} int"])
     ratio, weight, bias, slope, shift = model.ratio, model.weight, model.bias, model.slope, model.shift
 
     def run(batches):
@@ -182,6 +183,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 m = margins(*ngrams(raw, offsets), ratio, weight, bias)
                 p = 1 / (1 + np.exp(-np.clip(slope * m + shift, -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
-                                                 names=[*keep, "score", "predicted"])
+                                                 names=[*keep, *names])
 
     return rows.mapInArrow(run, schema)

@@ -15,13 +15,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that the operators of this folder rely on."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def query(name: str, oracle: str | None = None):
     """Register fn(spark, sf_dir) under name."""
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-            return fn(spark, sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         run.__name__ = name
         QUERIES[name] = run
