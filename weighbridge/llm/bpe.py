@@ -230,7 +230,8 @@ class ByteBPE:
             bounds = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
-        return run(text)
+        # Called non-deterministic so that the optimizer does not copy it into every expression over the ids.
+        return run.asNondeterministic()(text)
 
     def decode(self, ids: str | Column) -> Column:
         """The text that token ids spell, special tokens included; bytes that are not UTF-8 become U+FFFD; null stays null."""
