@@ -6,7 +6,7 @@ themselves.) A sample draws one (shingle, level) of a text so that two texts dra
 similarity. SAMPLES samples make BANDS bands; texts that agree on a band share a bucket and are candidates.
 
 Candidates are verified on the exact weighted Jaccard similarity of the whole texts. A bucket never lists its pairs: its members meet one
-leader first, what is linked becomes a class, and only members of different classes are looked at again, against leaders that double in
+leader first, what is linked becomes a class, and only members of different classes are looked at again, against leaders that grow in
 number until the bucket is one class or every pair of classes in it was refuted.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighbridge.llm.components import components
+from weighbridge.llm.components import components, cut_counted
 from weighbridge.llm.flat import Flat, byte_table, constants, mix, picked, repeats, text_slices, window_hashes
 from weighbridge.session import broadcast_if_small, cut
 
@@ -27,7 +27,7 @@ SAMPLES = BANDS * ROWS
 SIMILAR = 0.8
 RARE = 1000  # words in fewer than one of so many texts weigh alike; at most RARE x (mean distinct words of a text) words are frequent
 SMALL = 16  # members of a bucket whose pairs are simply compared
-LEADERS = 8  # of larger buckets, doubling each round
+LEADERS, GROWTH = 16, 8  # of larger buckets, and how many times more each round
 DRAWS = 1 << 14  # independent draws of (r, c, beta), picked by a hash of shingle and sample
 BLOCK = 192  # shingles at once
 PARTIAL = 1 << 20  # words a task counts before it passes them on
@@ -174,8 +174,7 @@ def signatures(docs: DataFrame, known: np.ndarray, idf: np.ndarray, text: str, d
 
 def verified(pairs: DataFrame, docs: DataFrame, known: np.ndarray, idf: np.ndarray, text: str, doc_id: str) -> DataFrame:
     """The rows (a, b) of pairs whose texts are SIMILAR or more, with similarity."""
-    wanted = cut(pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct())
-    n = wanted.count()
+    wanted, n = cut_counted(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
     texts = cut(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(broadcast_if_small(wanted, n), "_id", "left_semi"))
     # Links to a hub share one side: the join splits them.
     with_b = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
@@ -230,39 +229,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     texts = signed.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
     nodes = cut(texts.groupBy("digest").agg(F.min("id").alias("node"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
     every = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
-    shared = cut(every.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = cut(every.join(broadcast_if_small(shared.select("bucket"), shared.count()), "bucket", "left_semi"))
+    shared, n = cut_counted(every.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = cut(every.join(broadcast_if_small(shared.select("bucket"), n), "bucket", "left_semi"))
     # First leaders: the least member of every bucket; a member is held against the leader it shares most buckets with, then the others.
-    first = cut(_pairs(members, shared.select("bucket", F.col("l.node").alias("leader"), F.col("l.weight").alias("w2"))))
-    best = first.groupBy("b").agg(F.max_by("a", "shared").alias("a")).select("a", "b")
-    links = verified(best, rows, known, idf, text, doc_id)
-    roots = cut(components(links))
+    first, n = cut_counted(_pairs(members, shared.select("bucket", F.col("l.node").alias("leader"), F.col("l.weight").alias("w2"))))
+    best = first.groupBy("b").agg(F.max_by("a", F.struct(F.col("shared"), -F.col("a"))).alias("a")).select("a", "b")
+    roots, classes = _joined(None, verified(best, rows, known, idf, text, doc_id) if n else first)
     tested = best
-    rest = _across(first.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
+    rest = _across(first.join(best, ["a", "b"], "left_anti").select("a", "b"), roots, classes)
     members = members.join(shared.select("bucket", F.col("l.node").alias("node")), ["bucket", "node"], "left_anti")
     size = LEADERS
-    while True:
-        rest = cut(rest)
-        if not rest.isEmpty():
-            links = links.unionByName(verified(rest, rows, known, idf, text, doc_id))
+    while n:
+        rest, left = cut_counted(rest)
+        if left:
             tested = tested.union(rest)
-            roots = cut(components(links))
+            roots, classes = _joined(roots, verified(rest, rows, known, idf, text, doc_id))
         # Members of buckets that still hold more than one class.
-        of = members.select("bucket", "node", "weight").join(_spread_roots(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        of = members.select("bucket", "node", "weight").join(broadcast_if_small(roots, classes), "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = of.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("n")).filter("_lo <> _hi").select("bucket", "n")
-        members = cut(of.join(open_, "bucket"))
-        if members.isEmpty():
-            break
+        members, n = cut_counted(of.join(open_, "bucket"))
         draw = F.pmod(F.xxhash64("node", F.lit(size)), F.lit(1 << 30)) / float(1 << 30)
         leading = (F.col("n") <= SMALL) | (draw < F.lit(float(size)) / F.col("n"))
         leaders = members.filter(leading).select("bucket", F.col("node").alias("leader"), F.col("weight").alias("w2"), F.col("root").alias("root2"))
         rest = _pairs(members.select("bucket", "node", "weight", "root"), leaders).select("a", "b").join(tested, ["a", "b"], "left_anti")
         members = members.filter(~leading).select("bucket", "node", "weight")
-        size *= 2
-    found = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest", "left").join(roots, "node", "left")
+        size *= GROWTH
+    found = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest", "left").join(broadcast_if_small(roots, classes), "node", "left")
     return found.select(F.col("id").alias(doc_id), F.when(F.col("id").isNotNull(), F.coalesce("root", "node", "id")).alias("class_id"))
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame, int]:
+    """(node, root) and their number after links are added to the stars known so far."""
+    new = links.select("a", "b")
+    return cut_counted(components(new if roots is None else new.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))))
+
+
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs with the least id of their class, one of rows that repeat an id; rows with a null id stay. All columns stay."""
     classes = cut(near_duplicates(docs, text, doc_id))
@@ -274,12 +275,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.filter(F.col(doc_id).isNull()))
 
 
-def _spread_roots(roots: DataFrame) -> DataFrame:
-    return broadcast_if_small(roots, roots.count())
-
-
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+def _across(pairs: DataFrame, roots: DataFrame, classes: int) -> DataFrame:
     """Pairs whose ends are in different classes."""
-    end = lambda name: _spread_roots(roots).select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
+    end = lambda name: broadcast_if_small(roots, classes).select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
     joined = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
     return joined.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
