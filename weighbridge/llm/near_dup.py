@@ -5,9 +5,11 @@ frequency of the shingle itself would count the copies: the more copies a passag
 themselves.) A sample draws one (shingle, level) of a text so that two texts draw the same one with the chance of their weighted Jaccard
 similarity. SAMPLES samples make BANDS bands; texts that agree on a band share a bucket and are candidates.
 
-Candidates are verified on the exact weighted Jaccard similarity of the whole texts. A bucket never lists its pairs: its members meet one
-leader first, what is linked becomes a class, and only members of different classes are looked at again, against leaders that grow in
-number until the bucket is one class or every pair of classes in it was refuted.
+Candidates are verified on the exact weighted Jaccard similarity of the whole texts. A bucket never lists its pairs. Its members meet one
+leader, the most central member, and what is linked becomes a class; a bucket of one class is done. Members of several classes in a
+bucket of at most SMALL are compared; a larger bucket is parted by the further bands that its texts share, each part is a bucket again, and so
+on to the last band. Two texts of similarity 0.8 share a band with a chance of 0.99997, and a second one, which matters in large
+buckets only, with 0.9996.
 """
 
 from __future__ import annotations
@@ -26,8 +28,7 @@ BANDS, ROWS = 20, 4
 SAMPLES = BANDS * ROWS
 SIMILAR = 0.8
 RARE = 1000  # words in fewer than one of so many texts weigh alike; at most RARE x (mean distinct words of a text) words are frequent
-SMALL = 16  # members of a bucket whose pairs are simply compared
-LEADERS, GROWTH = 16, 8  # of larger buckets, and how many times more each round
+SMALL = 48  # members of a bucket whose pairs are simply compared
 DRAWS = 1 << 14  # independent draws of (r, c, beta), picked by a hash of shingle and sample
 BLOCK = 192  # shingles at once
 PARTIAL = 1 << 20  # words a task counts before it passes them on
@@ -181,16 +182,17 @@ def verified(pairs: DataFrame, docs: DataFrame, known: np.ndarray, idf: np.ndarr
     both = with_b.join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches):
-        last: tuple[str | None, tuple] = (None, ())
+        last, mine = None, ()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("ta", "tb")]
-            out = np.zeros(batch.num_rows)
-            for i, (ta, tb) in enumerate(zip(*columns, strict=True)):
-                if ta != last[0]:
-                    last = ta, _vector(ta, known, idf)
-                out[i] = weighted_jaccard(*last[1], *_vector(tb, known, idf))
-            keep = pa.array(np.flatnonzero(out >= SIMILAR))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep), pa.array(out).take(keep)], names=["a", "b", "similarity"])
+            for part, raw, offsets in text_slices(batch, "tb"):
+                hashes, weights, bounds = weighted_shingles(raw, offsets, known, idf)
+                out = np.zeros(part.num_rows)
+                for i, ta in enumerate(part.column("ta").to_pylist()):
+                    if ta != last:  # the join brings the links of one text together
+                        last, mine = ta, _vector(ta, known, idf)
+                    out[i] = weighted_jaccard(*mine, hashes[bounds[i]: bounds[i + 1]], weights[bounds[i]: bounds[i + 1]])
+                keep = pa.array(np.flatnonzero(out >= SIMILAR))
+                yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep), pa.array(out).take(keep)], names=["a", "b", "similarity"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return cut(both.mapInArrow(run, f"a {kind}, b {kind}, similarity double"))
@@ -209,12 +211,12 @@ def weighted_jaccard(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.ndar
 
 
 def _pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Distinct (a, b) of leaders and members of a bucket that may be similar: other class, weights near enough."""
+    """(node, a, b, shared): members and the leaders of their buckets that may be similar: other class, weights near enough."""
     near = F.least("weight", "w2") >= F.lit(SIMILAR - 1e-4) * F.greatest("weight", "w2")
     met = members.join(leaders, "bucket").filter((F.col("node") != F.col("leader")) & near)
     if "root" in members.columns:
         met = met.filter(F.col("root") != F.col("root2"))
-    return met.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    return met.groupBy("node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -229,31 +231,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     texts = signed.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
     nodes = cut(texts.groupBy("digest").agg(F.min("id").alias("node"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
     every = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
-    shared, n = cut_counted(every.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared, n = cut_counted(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = cut(every.join(broadcast_if_small(shared.select("bucket"), n), "bucket", "left_semi"))
-    # First leaders: the least member of every bucket; a member is held against the leader it shares most buckets with, then the others.
-    first, n = cut_counted(_pairs(members, shared.select("bucket", F.col("l.node").alias("leader"), F.col("l.weight").alias("w2"))))
-    best = first.groupBy("b").agg(F.max_by("a", F.struct(F.col("shared"), -F.col("a"))).alias("a")).select("a", "b")
+    # The first leader of a bucket is its most central member: the one whose buckets hold most texts. Copies of a text meet the text in more
+    # buckets than they meet each other, so a family is tied to its origin by one comparison a member.
+    sized = members.join(broadcast_if_small(shared.select("bucket", F.col("n").alias("size")), n), "bucket")
+    members = cut(members.join(sized.groupBy("node").agg(F.sum("size").alias("central")), "node"))
+    lead = F.max_by(F.struct(F.col("node").alias("leader"), F.col("weight").alias("w2")), F.struct(F.col("central"), -F.col("node")))
+    first_leaders = cut(members.groupBy("bucket").agg(lead.alias("l")).select("bucket", "l.leader", "l.w2"))
+    first, n = cut_counted(_pairs(members, first_leaders))
+    best = first.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct(F.col("shared"), -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
     roots, classes = _joined(None, verified(best, rows, known, idf, text, doc_id) if n else first)
     tested = best
+    first = first.select("a", "b").distinct()
     rest = _across(first.join(best, ["a", "b"], "left_anti").select("a", "b"), roots, classes)
-    members = members.join(shared.select("bucket", F.col("l.node").alias("node")), ["bucket", "node"], "left_anti")
-    size = LEADERS
+    members = members.join(first_leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+    members = members.withColumn("used", F.array("bucket"))
     while n:
         rest, left = cut_counted(rest)
         if left:
             tested = tested.union(rest)
             roots, classes = _joined(roots, verified(rest, rows, known, idf, text, doc_id))
         # Members of buckets that still hold more than one class.
-        of = members.select("bucket", "node", "weight").join(broadcast_if_small(roots, classes), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = of.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("n")).filter("_lo <> _hi").select("bucket", "n")
-        members, n = cut_counted(of.join(open_, "bucket"))
-        draw = F.pmod(F.xxhash64("node", F.lit(size)), F.lit(1 << 30)) / float(1 << 30)
-        leading = (F.col("n") <= SMALL) | (draw < F.lit(float(size)) / F.col("n"))
-        leaders = members.filter(leading).select("bucket", F.col("node").alias("leader"), F.col("weight").alias("w2"), F.col("root").alias("root2"))
-        rest = _pairs(members.select("bucket", "node", "weight", "root"), leaders).select("a", "b").join(tested, ["a", "b"], "left_anti")
-        members = members.filter(~leading).select("bucket", "node", "weight")
-        size *= GROWTH
+        of = members.join(broadcast_if_small(roots, classes), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = of.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("n"), lead.alias("l"))
+        members, n = cut_counted(of.join(open_.filter("_lo <> _hi").select("bucket", "n", F.col("l.leader").alias("_leader")), "bucket"))
+        small, large = members.filter(F.col("n") <= SMALL), members.filter(F.col("n") > SMALL)
+        leaders = small.union(large.filter(F.col("node") == F.col("_leader"))).select(
+            "bucket", F.col("node").alias("leader"), F.col("weight").alias("w2"), F.col("root").alias("root2"))
+        rest = _pairs(members, leaders).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        # What a large bucket leaves is parted by every band that its texts may share besides.
+        left_over, deep = cut_counted(large.filter(F.col("node") != F.col("_leader")).select("node", "weight", "central", "used"))
+        if not deep:
+            members = members.limit(0).select("bucket", "node", "weight", "central", "used")
+            continue
+        further = broadcast_if_small(left_over, deep, 200_000).join(nodes.select("node", "bands"), "node").withColumn(
+            "_band", F.explode(F.array_except("bands", "used"))).withColumn("used", F.array_sort(F.array_append("used", F.col("_band"))))
+        members = further.select(F.xxhash64("used").alias("bucket"), "node", "weight", "central", "used").distinct()
     found = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest", "left").join(broadcast_if_small(roots, classes), "node", "left")
     return found.select(F.col("id").alias(doc_id), F.when(F.col("id").isNotNull(), F.coalesce("root", "node", "id")).alias("class_id"))
 
