@@ -32,6 +32,10 @@ def _question_problem(raw: Column) -> Column:
     shape = F.coalesce(_type(raw, "$.criteria"), F.lit("VOID"))
     keys = F.coalesce(F.json_object_keys(criteria), F.array().cast("array<string>"))
     levels = F.coalesce(F.json_array_length(criteria), F.lit(0))
+    types = lambda values: F.transform(values, lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
+    named = types(F.map_values(F.from_json(criteria, "map<string,variant>")))
+    listed = types(F.from_json(criteria, "array<variant>"))
+    every = lambda kinds, null: F.coalesce(F.forall(kinds, lambda t: _described(t) | (F.lit(null) & (t == "VOID"))), F.lit(True))
     extra = F.size(F.array_except(F.json_object_keys(raw), F.array(F.lit("type"), F.lit("instructions"), F.lit("criteria")))) > 0
     return (
         F.when(~F.coalesce(kind.isin("choice", "score", "noul"), F.lit(False)), "unknown question type")
@@ -41,6 +45,8 @@ def _question_problem(raw: Column) -> Column:
         .when((kind == "score") & (~shape.startswith("ARRAY") | ~levels.between(*SCORE_LEVELS)), "score needs 2 to 10 levels")
         .when((kind == "noul") & ~(shape.startswith("OBJECT") | (shape == "VOID")), "noul criteria must be an object")
         .when((kind == "noul") & (F.size(F.array_except(keys, F.array(F.lit("true"), F.lit("false")))) > 0), "noul criteria keys must be true or false")
+        .when(((kind == "choice") & ~every(named, True)) | ((kind == "score") & ~every(listed, False)) | ((kind == "noul") & ~every(named, False)),
+              "descriptions of the wrong type")
     )
 
 

@@ -187,15 +187,16 @@ def solutions(spark, d) -> DataFrame:
     q, s, n = F.col("l_quantity").cast("bigint"), F.col("p_size").cast("bigint"), F.col("l_linenumber").cast("bigint")
     x, y = q * s, q * s + n
     t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    key = F.concat_ws("-", *[F.col(f"l_{c}").cast("string") for c in ("orderkey", "linenumber", "partkey", "suppkey")])
+    # The four keys repeat now and then; with the quantity a line is unique.
+    key = F.concat_ws("-", *[F.col(f"l_{c}").cast("string") for c in ("orderkey", "linenumber", "partkey", "suppkey")], q.cast("string"))
     return table(spark, d, "lineitem", "l_orderkey").join(table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.lit("train").alias("split"), key.alias("row"), t("A box holds ", q, " packs of ", s, " parts and ", n, " spare parts. How many parts?").alias("question"),
         t("The packs hold ", q, "*", s, "=<<", q, "*", s, "=", x, ">>", x, " parts.\nIn total ", x, "+", n, "=<<", x, "+", n, "=", y, ">>", y, " parts.\n#### ", y).alias("answer"))
 
 
 _VARIANT = f"""
-SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS row, l_quantity::BIGINT AS q, p_size::BIGINT AS s, l_linenumber::BIGINT AS n,
-  {hex_mod_sql(f"sha256('{SEED}|worked|train|' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey)", 6)} AS six FROM lineitem JOIN part ON p_partkey = l_partkey"""
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::BIGINT AS row, l_quantity::BIGINT AS q, p_size::BIGINT AS s, l_linenumber::BIGINT AS n,
+  {hex_mod_sql(f"sha256('{SEED}|worked|train|' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::BIGINT)", 6)} AS six FROM lineitem JOIN part ON p_partkey = l_partkey"""
 view("fx_worked", f"SELECT *, CASE WHEN six % 2 = 0 THEN 'gold' ELSE ['final_wrong', 'step_wrong', 'step_wrong_propagated'][1 + six // 2] END AS variant FROM ({_VARIANT})")
 
 
@@ -229,7 +230,7 @@ def _c10(spark, d):
 # --- requests ------------------------------------------------------------------------------------------------
 
 MODELS = ("judge-1",)
-KINDS = 12
+KINDS = 17
 
 
 def requests(spark, d) -> DataFrame:
@@ -244,7 +245,10 @@ def requests(spark, d) -> DataFrame:
     questions = (
         F.when(kind == 0, q(noul)).when(kind == 1, F.lit('{"a": ' + noul + ', "b": ' + choice + "}")).when(kind == 2, q(score)).when(kind == 4, q('{"type": "score", "instructions": "x", "criteria": ["one"]}'))
         .when(kind == 5, q('{"type": "choice", "instructions": "x", "criteria": {}}')).when(kind == 6, q('{"type": "noul", "instructions": "x", "criteria": {"maybe": "y"}}'))
-        .when(kind == 7, q('{"type": "rank", "instructions": "x"}')).when(kind == 8, q('{"type": "noul"}')).when(kind == 11, wide).otherwise(q(noul))
+        .when(kind == 7, q('{"type": "rank", "instructions": "x"}')).when(kind == 8, q('{"type": "noul"}')).when(kind == 11, wide)
+        .when(kind == 12, q('{"type": "choice", "instructions": "x", "criteria": {"k": 5, "l": null}}')).when(kind == 13, q('{"type": "score", "instructions": "x", "criteria": ["a", null]}'))
+        .when(kind == 14, q('{"type": "score", "instructions": "x", "criteria": ["a", ["b"], 3]}')).when(kind == 15, q('{"type": "noul", "instructions": "x", "criteria": {"true": null}}'))
+        .when(kind == 16, q('{"type": "choice", "instructions": ["x"], "criteria": {"k": {"deep": [1, null]}, "l": ["y"], "m": null}}')).otherwise(q(noul))
     )
     text = F.to_json(F.struct("text"))
     state = F.when(kind == 9, F.lit('{"image": "data:image/png;base64,AAAA"}')).otherwise(text)
@@ -257,7 +261,8 @@ def requests(spark, d) -> DataFrame:
 view("fx_requests", f"SELECT 'r/' || conv_id || '/' || turn AS request_id, (conv_id * 3 + turn) % {KINDS} AS kind, text FROM conversations")
 _REASON = """CASE kind WHEN 3 THEN 'unknown request key' WHEN 4 THEN 'score needs 2 to 10 levels' WHEN 5 THEN 'choice needs 1 to 255 options' WHEN 6 THEN 'noul criteria keys must be true or false'
   WHEN 7 THEN 'unknown question type' WHEN 8 THEN 'instructions missing or of the wrong type' WHEN 9 THEN 'image input is not supported' WHEN 10 THEN 'unknown model'
-  WHEN 11 THEN 'choice needs 1 to 255 options' ELSE '' END"""
+  WHEN 11 THEN 'choice needs 1 to 255 options' WHEN 12 THEN 'descriptions of the wrong type' WHEN 13 THEN 'descriptions of the wrong type'
+  WHEN 14 THEN 'descriptions of the wrong type' WHEN 15 THEN 'descriptions of the wrong type' ELSE '' END"""
 
 
 @query("c12_validate_requests", f"SELECT request_id, {_REASON} AS reasons FROM fx_requests")
@@ -270,12 +275,12 @@ def valid_questions(spark, d) -> DataFrame:
 
 
 view("fx_questions", """
-SELECT request_id, text, unnest(CASE kind WHEN 1 THEN ['a', 'b'] ELSE ['a'] END) AS question_key, kind FROM fx_requests WHERE kind IN (0, 1, 2)""")
+SELECT request_id, text, unnest(CASE kind WHEN 1 THEN ['a', 'b'] ELSE ['a'] END) AS question_key, kind FROM fx_requests WHERE kind IN (0, 1, 2, 16)""")
 
 
 @query("c13_explode_requests", """
-SELECT request_id, question_key, CASE WHEN kind = 2 THEN 'score' WHEN question_key = 'b' THEN 'choice' ELSE 'noul' END AS type,
-  CASE WHEN kind = 2 THEN '0,1,2,3,4' WHEN question_key = 'b' THEN 'warm,cold,flat' ELSE 'true' END AS keys FROM fx_questions""")
+SELECT request_id, question_key, CASE WHEN kind = 2 THEN 'score' WHEN question_key = 'b' OR kind = 16 THEN 'choice' ELSE 'noul' END AS type,
+  CASE WHEN kind = 2 THEN '0,1,2,3,4' WHEN kind = 16 THEN 'k,l,m' WHEN question_key = 'b' THEN 'warm,cold,flat' ELSE 'true' END AS keys FROM fx_questions""")
 def _c13(spark, d):
     return valid_questions(spark, d).select("request_id", "question_key", F.col("question.type").alias("type"), F.array_join(F.transform("question.options", lambda o: o["key"]), ",").alias("keys"))
 

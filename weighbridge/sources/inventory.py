@@ -37,12 +37,12 @@ def content_fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str]
 
 
 def inventory_compare(actual: DataFrame, manifest: DataFrame, name: str, size: str, checksum: str) -> DataFrame:
-    """name and status: ok, extra, missing, size differs or checksum differs."""
+    """name and status: ok, extra, missing, size differs, checksum differs, or not hashed where the actual side has no checksum."""
     a = actual.select(name, F.col(size).alias("_as"), F.col(checksum).alias("_ac"), F.lit(True).alias("_a"))
     m = manifest.select(name, F.col(size).alias("_ms"), F.col(checksum).alias("_mc"), F.lit(True).alias("_m"))
     status = (
         F.when(F.col("_m").isNull(), "extra").when(F.col("_a").isNull(), "missing").when(F.col("_as") != F.col("_ms"), "size differs")
-        .when(~F.col("_ac").eqNullSafe(F.col("_mc")), "checksum differs").otherwise("ok")
+        .when(F.col("_ac").isNull() & F.col("_mc").isNotNull(), "not hashed").when(~F.col("_ac").eqNullSafe(F.col("_mc")), "checksum differs").otherwise("ok")
     )
     return a.join(m, name, "full").select(name, status.alias("status"))
 

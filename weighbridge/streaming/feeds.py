@@ -15,6 +15,16 @@ from weighbridge.operators.requests import validate_requests
 from weighbridge.operators.scoring import METRICS, score_joined
 
 
+def closing_row(rows: DataFrame, ts: str, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """One row with only a time, far enough behind the last of rows to close all their windows.
+
+    A stream gives out a window when its watermark passes the window's end, so a feed that ends needs an event after it. No rows, no end.
+    """
+    later = F.max(ts) + 2 * F.expr(f"INTERVAL {width}") + F.expr(f"INTERVAL {delay}")
+    end = rows.agg(later.alias(ts)).filter(F.col(ts).isNotNull())
+    return end.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
 def telemetry_windows(stream: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Per tumbling window and phase: samples, highest use, rise over the window's first sample, lowest free."""
     agg = stream.withWatermark("ts", delay).groupBy(F.window("ts", width), "phase").agg(
