@@ -88,14 +88,18 @@ def parents(parsed: DataFrame) -> DataFrame:
 
 def roots(links: DataFrame) -> DataFrame:
     """(id, root, depth) of every id with a parent, by doubling: rounds are the logarithm of the longest thread."""
-    up = cut(links.select("id", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")))
+    active = cut(links.select("id", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")))
+    found: DataFrame | None = None
     while True:
-        above = up.select(F.col("id").alias("root"), F.col("root").alias("_r"), F.col("depth").alias("_d"))
-        step = cut(up.join(above, "root", "left").select(
+        whole = active if found is None else active.unionByName(found)
+        above = whole.select(F.col("id").alias("root"), F.col("root").alias("_r"), F.col("depth").alias("_d"))
+        step = cut(active.join(above, "root", "left").select(
             "id", F.coalesce("_r", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_r").isNotNull().alias("moved")))
-        up = step.drop("moved")
-        if step.filter("moved").isEmpty():
-            return up
+        # Who stands under a root has arrived and is not joined again, but others may still climb over it.
+        arrived, active = step.filter("not moved").drop("moved"), step.filter("moved").drop("moved")
+        found = arrived if found is None else found.unionByName(arrived)
+        if active.isEmpty():
+            return found
 
 
 def link_quotations(messages: DataFrame, body: str = "body", message_id: str = "message_id", keep: tuple[str, ...] = ("role",)) -> DataFrame:
