@@ -127,15 +127,15 @@ def _wins(items: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def paired_difference(items: DataFrame, by: str | None = None, resamples: int = RESAMPLES, seed: int = 20260926) -> DataFrame:
-    """Mean new-minus-old correctness with its 95% interval; groups use at least 1,000 resamples."""
+    """Mean new-minus-old correctness with its 95% interval."""
     counts = _wins(items, [by] if by else []).withColumn("mean", (F.col("wins") - F.col("losses")) / F.col("n"))
-    return with_interval(counts, max(1000, resamples // 5) if by else resamples, seed)
+    return with_interval(counts, resamples, seed)
 
 
-def four_way_interval(counts: DataFrame, seed: int = 20260926) -> DataFrame:
-    """Add the interval to four-way counts: 10,000 resamples from 200 rows on, 2,000 below."""
+def four_way_interval(counts: DataFrame, resamples: int = RESAMPLES, seed: int = 20260926) -> DataFrame:
+    """Add the interval to four-way counts."""
     named = counts.withColumn("wins", F.col("new_only")).withColumn("losses", F.col("old_only"))
-    return with_interval(named, F.when(F.col("n") >= 200, 10_000).otherwise(2_000), seed)
+    return with_interval(named, resamples, seed)
 
 
 def paired_table(items: DataFrame, by: str | None = None) -> DataFrame:

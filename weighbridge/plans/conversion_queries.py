@@ -411,7 +411,7 @@ def _t01(spark, d):
 
 _WIDE = f"""
 WITH o AS (SELECT 'w/' || vec_id AS id, variant, 'k' || lpad(i::VARCHAR, 2, '0') AS key, 'k' || lpad((vec_id % 60)::VARCHAR, 2, '0') AS gold
-           FROM fx_decisions, unnest([0, 1]) AS v(variant), unnest(range(0, 60)) AS u(i) WHERE primitive = 'choice'),
+           FROM fx_decisions, unnest([0, 1]) AS v(variant), unnest(range(0, 60)) AS u(i)),
 s AS (SELECT *, [4, 8, 16, 32][1 + {hex_mod_sql(f"sha256('{SEED}|size|' || id || '|' || variant)", 4)}] AS size,
       row_number() OVER (PARTITION BY id, variant, key = gold ORDER BY sha256('{SEED}|sample|' || id || '|' || variant || '|' || key)) AS rn FROM o),
 k AS (SELECT *, row_number() OVER (PARTITION BY id, variant ORDER BY sha256('{SEED}|' || id || '|' || variant || '|' || key)) AS place FROM s WHERE key = gold OR rn <= size - 1)

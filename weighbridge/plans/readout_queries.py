@@ -63,7 +63,7 @@ def recorded(spark, d) -> tuple[DataFrame, DataFrame]:
 view("fx_replay", """
 SELECT id, vec_id, wide, CASE WHEN vec_id % 37 = 0 OR vec_id % 19 = 0 THEN 'prediction failed or input hash differs' WHEN vec_id % 29 = 0 THEN 'unused traces'
   WHEN vec_id % 23 = 0 THEN 'candidate count differs' WHEN vec_id % 31 = 0 THEN 'prompt differs from recorded run' END AS reason
-FROM (SELECT id, vec_id, false AS wide FROM fx_decisions UNION ALL SELECT 'w/' || vec_id, vec_id, true FROM fx_decisions WHERE primitive = 'choice')""")
+FROM (SELECT id, vec_id, false AS wide FROM fx_decisions UNION ALL SELECT 'w/' || vec_id, vec_id, true FROM fx_decisions)""")
 
 
 @query("r04_replay", "SELECT id, reason FROM fx_replay")

@@ -339,10 +339,10 @@ def order_pairs(spark, d) -> DataFrame:
 
 
 def chunked(spark, d) -> DataFrame:
-    """Choice questions with 60 options from every third vector."""
+    """Choice questions with 60 options from every vector."""
     options = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.struct(
         F.concat(F.lit("k"), F.lpad(i.cast("string"), 2, "0")).alias("key"), F.lit(None).cast("string").alias("description")))
-    return decisions(spark, d).filter(F.col("primitive") == "choice").withColumn(
+    return decisions(spark, d).withColumn("primitive", F.lit("choice")).withColumn(
         "question", F.struct(F.lit("choice").alias("type"), F.lit("Which of sixty?").alias("instructions"), options.alias("options"))
     ).withColumn("label", F.concat(F.lit("k"), F.lpad((F.col("vec_id") % 60).cast("string"), 2, "0"))).withColumn("id", F.concat(F.lit("w/"), F.col("vec_id").cast("string")))
 
@@ -361,9 +361,9 @@ def _chunk_view(name: str, offset: int) -> None:
     view(name, f"""
 SELECT vec_id, pos, v / sum(v) OVER (PARTITION BY vec_id) AS p FROM (
   SELECT l.vec_id, l.pos, exp(l.logit - max(l.logit) OVER (PARTITION BY l.vec_id, l.part)) * f.f AS v
-  FROM (SELECT d.vec_id, u.pos, (u.pos - 1) // 30 AS part, 8 * d.embedding[{offset} + u.pos]::DOUBLE AS logit FROM fx_decisions d, unnest(range(1, 61)) AS u(pos) WHERE d.primitive = 'choice') l
+  FROM (SELECT d.vec_id, u.pos, (u.pos - 1) // 30 AS part, 8 * d.embedding[{offset} + u.pos]::DOUBLE AS logit FROM fx_decisions d, unnest(range(1, 61)) AS u(pos)) l
   JOIN (SELECT vec_id, part, exp(l) / sum(exp(l)) OVER (PARTITION BY vec_id) AS f FROM (
-    SELECT d.vec_id, u.part, 8 * d.embedding[{offset} + 61 + u.part]::DOUBLE AS l FROM fx_decisions d, unnest([0, 1]) AS u(part) WHERE d.primitive = 'choice')) f
+    SELECT d.vec_id, u.part, 8 * d.embedding[{offset} + 61 + u.part]::DOUBLE AS l FROM fx_decisions d, unnest([0, 1]) AS u(part))) f
   ON f.vec_id = l.vec_id AND f.part = l.part)""")
 
 
