@@ -85,8 +85,18 @@ def test_separators_and_decimals_keep_their_style(spark):
 
 
 def test_exact_arithmetic():
-    assert planted._evaluate("0.1+0.2") * 10 == 3
-    assert planted._evaluate("7//2") == 3 and planted._evaluate("2**5") == 32
+    assert planted.evaluate("0.1+0.2") * 10 == 3
+    assert planted.evaluate("7//2") == 3 and planted.evaluate("2**5") == 32
     for bad in ("__import__('os')", "2**13.5", "1/0", "a+1", "2**99"):
-        with pytest.raises(planted._Unusable):
-            planted._evaluate(bad)
+        with pytest.raises(planted.Skip):
+            planted.evaluate(bad)
+
+
+def test_numbers_beyond_exact_decimals_are_refused(spark):
+    assert {r["reason"] for r in judged(spark, ["x\n#### 1.123456789012"] * 8)} == {"malformed final answer"}
+
+
+def test_an_operand_that_cannot_be_rewritten_is_refused():
+    ledger = planted.Ledger("Half: 1/2=<<1/2=0.5>>0.5 then 4*.5=<<4*.5=2>>2 and 0.5+.5=<<0.5+.5=1>>1.")
+    with pytest.raises(planted.Skip):
+        ledger.consequences(0, planted.exact("0.75"))
