@@ -28,7 +28,7 @@ BANDS, ROWS = 20, 4
 SAMPLES = BANDS * ROWS
 SIMILAR = 0.8
 RARE = 1000  # words in fewer than one of so many texts weigh alike; at most RARE x (mean distinct words of a text) words are frequent
-SMALL = 48  # members of a bucket whose pairs are simply compared
+SMALL = 64  # members of a bucket whose pairs are simply compared
 DRAWS = 1 << 14  # independent draws of (r, c, beta), picked by a hash of shingle and sample
 BLOCK = 192  # shingles at once
 PARTIAL = 1 << 20  # words a task counts before it passes them on
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     signed = cut(signatures(rows, known, idf, text, doc_id))
     texts = signed.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
     nodes = cut(texts.groupBy("digest").agg(F.min("id").alias("node"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
-    every = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
+    every = nodes.select("node", "weight", F.posexplode("bands").alias("last", "bucket"))
     shared, n = cut_counted(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = cut(every.join(broadcast_if_small(shared.select("bucket"), n), "bucket", "left_semi"))
     # The first leader of a bucket is its most central member: the one whose buckets hold most texts. Copies of a text meet the text in more
@@ -246,7 +246,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     first = first.select("a", "b").distinct()
     rest = _across(first.join(best, ["a", "b"], "left_anti").select("a", "b"), roots, classes)
     members = members.join(first_leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-    members = members.withColumn("used", F.array("bucket"))
     while n:
         rest, left = cut_counted(rest)
         if left:
@@ -260,14 +259,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         leaders = small.union(large.filter(F.col("node") == F.col("_leader"))).select(
             "bucket", F.col("node").alias("leader"), F.col("weight").alias("w2"), F.col("root").alias("root2"))
         rest = _pairs(members, leaders).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        # What a large bucket leaves is parted by every band that its texts may share besides.
-        left_over, deep = cut_counted(large.filter(F.col("node") != F.col("_leader")).select("node", "weight", "central", "used"))
-        if not deep:
-            members = members.limit(0).select("bucket", "node", "weight", "central", "used")
-            continue
-        further = broadcast_if_small(left_over, deep, 200_000).join(nodes.select("node", "bands"), "node").withColumn(
-            "_band", F.explode(F.array_except("bands", "used"))).withColumn("used", F.array_sort(F.array_append("used", F.col("_band"))))
-        members = further.select(F.xxhash64("used").alias("bucket"), "node", "weight", "central", "used").distinct()
+        # What a large bucket leaves is parted by every later band that its texts may share besides: a set of bands comes up once.
+        left_over, deep = cut_counted(large.filter(F.col("node") != F.col("_leader")).select("node", "weight", "central", "last", "bucket"))
+        if deep:
+            further = broadcast_if_small(left_over, deep, 200_000).join(nodes.select("node", F.posexplode("bands").alias("_next", "_band")), "node")
+            members = further.filter(F.col("_next") > F.col("last")).select(
+                "node", "weight", "central", F.col("_next").alias("last"), F.xxhash64("bucket", "_band").alias("bucket"))
+        else:
+            members = left_over
     found = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest", "left").join(broadcast_if_small(roots, classes), "node", "left")
     return found.select(F.col("id").alias(doc_id), F.when(F.col("id").isNotNull(), F.coalesce("root", "node", "id")).alias("class_id"))
 
