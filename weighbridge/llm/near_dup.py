@@ -173,8 +173,8 @@ def signatures(docs: DataFrame, known: np.ndarray, idf: np.ndarray, text: str, d
     return rows.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, known: np.ndarray, idf: np.ndarray, text: str, doc_id: str) -> DataFrame:
-    """The rows (a, b) of pairs whose texts are SIMILAR or more, with similarity."""
+def verified(pairs: DataFrame, docs: DataFrame, known: np.ndarray, idf: np.ndarray, text: str, doc_id: str) -> tuple[DataFrame, int]:
+    """The rows (a, b) of pairs whose texts are SIMILAR or more, with similarity, and their number."""
     wanted, n = cut_counted(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
     texts = cut(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(broadcast_if_small(wanted, n), "_id", "left_semi"))
     # Links to a hub share one side: the join splits them.
@@ -195,7 +195,7 @@ def verified(pairs: DataFrame, docs: DataFrame, known: np.ndarray, idf: np.ndarr
                 yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep), pa.array(out).take(keep)], names=["a", "b", "similarity"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return cut(both.mapInArrow(run, f"a {kind}, b {kind}, similarity double"))
+    return cut_counted(both.mapInArrow(run, f"a {kind}, b {kind}, similarity double"))
 
 
 def _vector(text: str, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     first_leaders = cut(members.groupBy("bucket").agg(lead.alias("l")).select("bucket", "l.leader", "l.w2"))
     first, n = cut_counted(_pairs(members, first_leaders))
     best = first.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct(F.col("shared"), -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
-    roots, classes = _joined(None, verified(best, rows, known, idf, text, doc_id) if n else first)
+    roots, classes = _joined(None, verified(best, rows, known, idf, text, doc_id)[0] if n else first)
     tested = best
     first = first.select("a", "b").distinct()
     rest = _across(first.join(best, ["a", "b"], "left_anti").select("a", "b"), roots, classes)
@@ -250,7 +250,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         rest, left = cut_counted(rest)
         if left:
             tested = tested.union(rest)
-            roots, classes = _joined(roots, verified(rest, rows, known, idf, text, doc_id))
+            links, new = verified(rest, rows, known, idf, text, doc_id)
+            if new:
+                roots, classes = _joined(roots, links)
         # Members of buckets that still hold more than one class.
         of = members.join(broadcast_if_small(roots, classes), "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = of.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("n"), lead.alias("l"))
