@@ -109,6 +109,15 @@ def test_decontamination_finds_whole_items(spark, docs):
     assert want and len(want - got) <= 0.02 * len(want) and got <= want
 
 
+def test_decontamination_misses_no_whole_item(spark):
+    plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
+    items = {r.item_id: plain(r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()}
+    rows = [(r.doc_id, plain(r.text)) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text is not null").select("doc_id", "text").collect()]
+    want = {(d, i) for d, x in rows for i, t in items.items() if len(t.split()) >= 5 and t in x}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op2_decontamination"](spark, "/root/testdata/sf0.1").collect()}
+    assert want and want <= got
+
+
 def test_classifiers_on_held_out_rows(spark, docs):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = [r for r in QUERIES["op10_quality_classifier"](spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]

@@ -110,6 +110,19 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.leaks(odd, items.filter("false")).count() == 0
 
 
+def test_decontamination_in_other_case(spark):
+    texts = ["L'été dernier, Élodie Müller acheta 3 kilos de pommes à Évry et Zoé garda la Straße libre pour Ægir.",
+             "В среду Иван купил 3 яблока и отдал их своей сестре Ольге у старого моста.", "What did Alice Smith and Bob Jones buy from Carol Brown in Paris?"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    copies = [(i, f(t)) for i, t in enumerate(texts) for f in (str.upper, str.lower, str.title, lambda x: "see the question: they asked " + x)]
+    docs = spark.createDataFrame([(100 * k + i, t) for k, (i, t) in enumerate(copies)], "doc_id bigint, text string")
+    got = {r.doc: (r.item, r.changed) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {100 * k + i: (i, 0) for k, (i, _) in enumerate(copies)}
+    raw = np.frombuffer("so DÉJÀ ÉAI Éva Dé É".encode(), np.uint8)
+    c = decontaminate.Canonical(raw, np.array([0, len(raw)]), decontaminate.Lexicon())
+    assert c.name.tolist() == [False, False, False, True, True, False]
+
+
 def test_surrogates(spark, odd, nothing):
     text = "Mrs. Jane Miller met John Smith. Later Miller phoned +1 (017) 555-7713, or +1 017 555 7713; JM.4@Mail.example.com, 4111 1111 1111 1111, 10.0.0.7"
     docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "")], "doc_id bigint, text string")

@@ -4,6 +4,9 @@ Texts are canonicalised word by word: numbers, names and units after numbers bec
 word. Windows of WINDOW canonical words are hashed and joined between documents and benchmark items. A joined window says that the frame is the
 same; the slots say whether the filling is: along one alignment every value of the item must stand for one value of the document, wherever it
 recurs. Such an alignment is the item itself or the item with other numbers and names.
+
+Names are told by their capitals, so windows come in two views: typed, with names as placeholders, and plain, with names as folded words. A copy
+of an item in other case (shouted, small, every word capitalised) is met in the plain view. Other names in such a copy are not told from words.
 """
 
 from __future__ import annotations
@@ -38,9 +41,11 @@ UNITS = {
     "energy": "watt watts kw kwh volt volts joule joules",
 }
 
+TYPED, PLAIN = 0, 1  # views of a window
+
 DIGIT = byte_table((48, 57))
 CAPITAL = byte_table((65, 90))
-SMALL = byte_table((97, 122), (128, 255))
+SMALL = np.array([not chr(c).isupper() and chr(c).isalpha() for c in range(0x110000)])  # letters, by code point, that are no capitals
 WORD = byte_table((1, 1), (48, 57), (65, 90), (97, 122), (128, 255))  # 1 stands for a point or comma inside a number
 STOP = byte_table(*[(ord(c), ord(c)) for c in ".!?:\n"])
 
@@ -64,24 +69,51 @@ class Lexicon:
         self.number, self.name, self.unit = marks[0], marks[1], marks[2:]
 
 
+def folded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts without case, and their offsets. No mapping makes or ends a word, so word i stays word i; upper() first joins what only
+    capitals join (the dotless i)."""
+    if not (raw > 127).any():
+        low = raw.copy()
+        low[CAPITAL[raw]] += 32
+        return low, offsets
+    whole = raw.tobytes()
+    # Bytes that are no UTF-8 pass as they are.
+    texts = [whole[a:b].decode("utf-8", "surrogateescape").upper().casefold().encode("utf-8", "surrogateescape") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
+
+def joined_numbers(raw: np.ndarray) -> np.ndarray:
+    """raw with the points and commas inside numbers made word bytes."""
+    data, digit = raw.copy(), DIGIT[raw]
+    if len(raw) > 2:
+        joint = ((raw[1:-1] == 44) | (raw[1:-1] == 46)) & digit[:-2] & digit[2:]
+        data[1:-1][joint] = 1
+    return data
+
+
+def small_after(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Is the character behind the one at start a letter that is no capital."""
+    point = (raw & 0xC0) != 0x80
+    small = np.append(SMALL[np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)], False)
+    return small[np.minimum(np.cumsum(point)[start], len(small) - 1)]
+
+
 class Canonical:
-    """Canonical words of several texts: code (hash of word or placeholder), slot (is it a placeholder), value (hash as written)."""
+    """Canonical words of several texts: code (hash of word or placeholder) and slot (is it a placeholder) by view, value (hash without case)."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, lexicon: Lexicon):
-        data = raw.copy()
-        digit = DIGIT[raw]
-        if len(raw) > 2:
-            joint = ((raw[1:-1] == 44) | (raw[1:-1] == 46)) & digit[:-2] & digit[2:]
-            data[1:-1][joint] = 1
-        self.flat = flat = Flat(data, offsets, WORD, fold=True)
-        words = flat.hashes()
-        self.value = span_hashes(data, flat.start, flat.end)
+        data = joined_numbers(raw)
+        self.flat = flat = Flat(data, offsets, WORD)
+        low, low_offsets = folded(raw, offsets)
+        words = Flat(joined_numbers(low), low_offsets, WORD).hashes()
+        self.value = words
         head = data[flat.start]
         second = data[np.minimum(flat.start + 1, max(len(data) - 1, 0))] if len(data) else head
+        accented = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)
         # Capital letters of ASCII and of the Latin-1 block (two bytes, 0xC3 0x80 to 0x9E).
         # A word in capitals throughout is no name: text is also shouted.
-        long_ = flat.end - flat.start > 1
-        capital = long_ & ((CAPITAL[head] & SMALL[second]) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E)))
+        long_ = flat.end - flat.start > np.where(accented, 2, 1)
+        capital = long_ & (CAPITAL[head] | accented) & small_after(raw, flat.start)
         stops = np.concatenate([[0], np.cumsum(STOP[data])])
         before = np.concatenate([[0], flat.end[:-1]]) if len(words) else np.zeros(0, np.int64)
         opening = stops[flat.start] > stops[np.minimum(before, flat.start)]
@@ -93,24 +125,28 @@ class Canonical:
         after[flat.first[:-1][flat.counts > 0]] = False
         at = np.minimum(np.searchsorted(lexicon.units, words), len(lexicon.units) - 1)
         unit = after & (lexicon.units[at] == words) & ~number
-        self.code = np.where(number, lexicon.number, np.where(name, lexicon.name, words))
-        self.code[unit] = lexicon.unit[lexicon.kind[at[unit]]]
-        self.slot = number | name | unit
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, text, hash) of the windows of size words with enough literals."""
+        plain = np.where(number, lexicon.number, words)
+        plain[unit] = lexicon.unit[lexicon.kind[at[unit]]]
+        self.name = name & ~unit
+        self.code = {TYPED: np.where(self.name, lexicon.name, plain), PLAIN: plain}
+        self.slot = {TYPED: number | name | unit, PLAIN: number | unit}
+
+    def windows(self, size: int, view: int, named: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, text, hash) of the windows of size words with enough literals; named: only of those that hold a name."""
         first, bounds = self.flat.windows(size)
         text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
-        keep = size - (slots[first + size] - slots[first]) >= min(LITERALS, -(-size // 2))
+        within = lambda marks: (total := np.concatenate([[0], np.cumsum(marks)]))[first + size] - total[first]
+        keep = size - within(self.slot[view]) >= min(LITERALS, -(-size // 2))
+        if named:
+            keep &= within(self.name) > 0
         first, text = first[keep], text[keep]
-        return first, text, window_hashes(self.code, first, size)
+        return first, text, window_hashes(self.code[view], first, size)
 
 
-def _rows(canonical: Canonical, first: np.ndarray, text: np.ndarray, hashes: np.ndarray, size: int, part: pa.RecordBatch, keep: list[str]) -> pa.RecordBatch:
+def _rows(canonical: Canonical, first: np.ndarray, text: np.ndarray, hashes: np.ndarray, size: int, view: int, part: pa.RecordBatch, keep: list[str]) -> pa.RecordBatch:
     """One row a window: keep, its hash, its place in words and the values of its slots in order."""
     inside = first[:, None] + np.arange(size)
-    slot = canonical.slot[inside]
+    slot = canonical.slot[view][inside]
     counts = slot.sum(axis=1)
     values = canonical.value[inside[slot]].view(np.int64)
     take = pa.array(text)
@@ -125,7 +161,7 @@ ROW = "hash bigint, place int, slots array<bigint>"
 
 
 def item_windows(items: DataFrame, text: str, item_id: str) -> DataFrame:
-    """(item, size, hash, place, slots) of every item's windows; an item shorter than WINDOW is one window."""
+    """(item, size, hash, place, slots, view) of every item's windows; an item shorter than WINDOW is one window a view."""
     kind = items.schema[item_id].dataType.simpleString()
 
     def run(batches):
@@ -134,16 +170,19 @@ def item_windows(items: DataFrame, text: str, item_id: str) -> DataFrame:
             for part, raw, offsets in text_slices(batch, text):
                 c = Canonical(raw, offsets, lexicon)
                 for size in range(SHORTEST, WINDOW + 1):
-                    first, owner, hashes = c.windows(size)
-                    fits = np.minimum(c.flat.counts[owner], WINDOW) == size
-                    rows = _rows(c, first[fits], owner[fits], hashes[fits], size, part, ["item"])
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, size, np.int32))], names=[*rows.schema.names, "size"])
+                    for view in (TYPED, PLAIN):
+                        first, owner, hashes = c.windows(size, view)
+                        fits = np.minimum(c.flat.counts[owner], WINDOW) == size
+                        rows = _rows(c, first[fits], owner[fits], hashes[fits], size, view, part, ["item"])
+                        more = [pa.array(np.full(rows.num_rows, x, np.int32)) for x in (size, view)]
+                        yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*rows.schema.names, "size", "view"])
 
-    return items.select(F.col(item_id).alias("item"), text).mapInArrow(run, f"item {kind}, {ROW}, size int")
+    return items.select(F.col(item_id).alias("item"), text).mapInArrow(run, f"item {kind}, {ROW}, size int, view int")
 
 
 def document_windows(docs: DataFrame, text: str, doc_id: str, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """(doc, version, hash, place, slots) of the documents' windows of the given sizes whose hash is wanted (None: of all).
+    """(doc, version, hash, place, slots) of the documents' windows of the given sizes whose hash is wanted (None: of all), in both views;
+    windows without names are the same in both and come once.
 
     version is the text's hash: it keeps rows apart that share an id but not a text.
     """
@@ -154,13 +193,13 @@ def document_windows(docs: DataFrame, text: str, doc_id: str, sizes: list[int],
         for batch in batches:
             for part, raw, offsets in text_slices(batch, text):
                 c = Canonical(raw, offsets, lexicon)
-                for size in sizes:
-                    first, owner, hashes = c.windows(size)
+                for size, view in [(s, v) for s in sizes for v in (TYPED, PLAIN)]:
+                    first, owner, hashes = c.windows(size, view, named=view == PLAIN)
                     if wanted is not None:
                         hit = wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
                         first, owner, hashes = first[hit], owner[hit], hashes[hit]
                     if len(first):
-                        yield _rows(c, first, owner, hashes, size, part, ["doc", "version"])
+                        yield _rows(c, first, owner, hashes, size, view, part, ["doc", "version"])
 
     rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("version"), text)
     return picked(rows, "doc", "version", text).mapInArrow(run, f"doc {kind}, version bigint, {ROW}")
@@ -169,7 +208,8 @@ def document_windows(docs: DataFrame, text: str, doc_id: str, sizes: list[int],
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """One row per document text and item it contains: doc, version, item, windows (of the item), matched, coverage, changed.
 
-    changed counts slots filled with another value: 0 is the item word for word, more is the item re-parameterised. Null and empty texts
+    changed counts slots filled with another value: 0 is the item word for word in any case, more is the item re-parameterised. Windows are
+    counted in the view that covers more of the item. Null and empty texts
     on either side and items under SHORTEST words match nothing; repeated rows give one row; an empty table gives none.
     """
     windows = cut(item_windows(items.filter(F.col(item_id).isNotNull()), item_text, item_id))
@@ -179,19 +219,20 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "
     if 0 < n <= FILTER_ROWS:
         wanted = np.unique(windows.select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64))
     found = document_windows(docs, text, doc_id, sizes, wanted)
-    item = windows.select("item", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    item = windows.select("item", "view", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     met = found.join(broadcast_if_small(item, n, JOIN_ROWS), "hash")
     # One alignment of a document and an item has at most the item's windows.
-    aligned = met.withColumn("shift", F.col("place") - F.col("item_place")).groupBy("doc", "version", "item", "shift").agg(
+    aligned = met.withColumn("shift", F.col("place") - F.col("item_place")).groupBy("doc", "version", "item", "view", "shift").agg(
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots")))).alias("filled"))
     values = F.array_distinct(F.transform("filled", lambda x: x["item_slots"]))
     consistent = aligned.filter(F.size(values) == F.size("filled"))
     changed = F.size(F.filter("filled", lambda x: x["item_slots"] != x["slots"]))
-    best = consistent.select("doc", "version", "item", changed.alias("changed"), F.explode("places").alias("at"))
-    seen = best.groupBy("doc", "version", "item").agg(F.count_distinct("at").alias("matched"), F.max("changed").alias("changed"))
-    total = windows.groupBy("item").agg(F.count_distinct("place").alias("windows"))
-    out = seen.join(broadcast_if_small(total, n, JOIN_ROWS), "item").withColumn("coverage", F.col("matched") / F.col("windows"))
-    return out.filter(F.col("coverage") >= COVERAGE).select("doc", "version", "item", "windows", "matched", "coverage", "changed")
+    best = consistent.select("doc", "version", "item", "view", changed.alias("changed"), F.explode("places").alias("at"))
+    seen = best.groupBy("doc", "version", "item", "view").agg(F.count_distinct("at").alias("matched"), F.max("changed").alias("changed"))
+    total = windows.groupBy("item", "view").agg(F.count_distinct("place").alias("windows"))
+    out = seen.join(broadcast_if_small(total, n, JOIN_ROWS), ["item", "view"]).withColumn("coverage", F.col("matched") / F.col("windows"))
+    more = F.max_by(F.struct("windows", "matched", "coverage", "changed"), F.struct("coverage", -F.col("changed"), "matched"))
+    return out.filter(F.col("coverage") >= COVERAGE).groupBy("doc", "version", "item").agg(more.alias("m")).select("doc", "version", "item", "m.*")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
