@@ -39,6 +39,22 @@ def test_near_duplicates_are_the_components_of_all_similar_pairs(spark, docs):
     assert got == {i: find(i) for i in ids}
 
 
+def test_near_duplicates_inside_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SMALL", 2)  # all buckets are large
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    body, texts = words(1500), []
+    for _ in range(80):  # pairs of similarity above 0.8 in a group of less
+        own = words(30)
+        texts += [" ".join(body + own + words(22)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    known, idf = near_dup.word_frequencies(docs, "text")
+    v = [near_dup._vector(t, known, idf) for t in texts]
+    similar = {(a, b) for a in range(160) for b in range(a + 1, 160) if near_dup.weighted_jaccard(*v[a], *v[b]) >= near_dup.SIMILAR}
+    assert similar == {(2 * k, 2 * k + 1) for k in range(80)} and near_dup.weighted_jaccard(*v[0], *v[2]) > 0.5
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == {i: i - i % 2 for i in range(160)}
+
+
 def test_sampling_agrees_with_weighted_similarity():
     rng = np.random.default_rng(5)
     sampler, hits, want = near_dup.Sampler(), 0, 0.0

@@ -7,9 +7,9 @@ similarity. SAMPLES samples make BANDS bands; texts that agree on a band share a
 
 Candidates are verified on the exact weighted Jaccard similarity of the whole texts. A bucket never lists its pairs. Its members meet one
 leader, the most central member, and what is linked becomes a class; a bucket of one class is done. Members of several classes in a
-bucket of at most SMALL are compared; a larger bucket is parted by the further bands that its texts share, each part is a bucket again, and so
-on to the last band. Two texts of similarity 0.8 share a band with a chance of 0.99997, and a second one, which matters in large
-buckets only, with 0.9996.
+bucket of at most SMALL are compared. What larger buckets leave is compared over prefixes: in a fixed order of all shingles, rare ones first, two
+texts of similarity SIMILAR share one of the shingles before the last SIMILAR of their weight. That is certain, so large buckets lose no pair that
+shares a band, whatever they hold: two texts of similarity 0.8 share a band with a chance of 0.99997.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ SAMPLES = BANDS * ROWS
 SIMILAR = 0.8
 RARE = 1000  # words in fewer than one of so many texts weigh alike; at most RARE x (mean distinct words of a text) words are frequent
 SMALL = 64  # members of a bucket whose pairs are simply compared
+COUNTERS = 1 << 20  # of shingles, for their order; shingles that share one are taken for as frequent as both
 DRAWS = 1 << 14  # independent draws of (r, c, beta), picked by a hash of shingle and sample
 BLOCK = 192  # shingles at once
 PARTIAL = 1 << 20  # words a task counts before it passes them on
@@ -246,33 +247,85 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     first = first.select("a", "b").distinct()
     rest = _across(first.join(best, ["a", "b"], "left_anti").select("a", "b"), roots, classes)
     members = members.join(first_leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-    while n:
-        rest, left = cut_counted(rest)
-        if left:
-            tested = tested.union(rest)
-            links, new = verified(rest, rows, known, idf, text, doc_id)
-            if new:
-                roots, classes = _joined(roots, links)
-        # Members of buckets that still hold more than one class.
-        of = members.join(broadcast_if_small(roots, classes), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = of.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("n"), lead.alias("l"))
-        members, n = cut_counted(of.join(open_.filter("_lo <> _hi").select("bucket", "n", F.col("l.leader").alias("_leader")), "bucket"))
-        small, large = members.filter(F.col("n") <= SMALL), members.filter(F.col("n") > SMALL)
-        leaders = small.union(large.filter(F.col("node") == F.col("_leader"))).select(
-            "bucket", F.col("node").alias("leader"), F.col("weight").alias("w2"), F.col("root").alias("root2"))
-        rest = _pairs(members, leaders).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        # What a large bucket leaves is parted by every later band that its texts may share besides: a set of bands comes up once.
-        left_over, deep = cut_counted(large.filter(F.col("node") != F.col("_leader")).select("node", "weight", "central", "last", "bucket"))
-        if deep:
-            further = broadcast_if_small(left_over, deep, 200_000).join(nodes.select("node", F.posexplode("bands").alias("_next", "_band")), "node")
-            members = further.filter(F.col("_next") > F.col("last")).select(
-                "node", "weight", "central", F.col("_next").alias("last"), F.xxhash64("bucket", "_band").alias("bucket"))
-        else:
-            members = left_over
+    roots, classes, tested = _linked(rest, roots, classes, tested, rows, known, idf, text, doc_id)
+    # Members of buckets that still hold more than one class.
+    of = members.join(broadcast_if_small(roots, classes), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = of.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    members = cut(of.join(open_.filter("_lo <> _hi").select("bucket", "n"), "bucket"))
+    small = members.filter(F.col("n") <= SMALL)
+    rest = _pairs(small, _all_lead(small)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    roots, classes, tested = _linked(rest, roots, classes, tested, rows, known, idf, text, doc_id)
+    large, n = cut_counted(members.filter(F.col("n") > SMALL).select("node", "weight").distinct())
+    if n:
+        meet = prefixes(large, n, rows, known, idf, text, doc_id)
+        meet = meet.join(broadcast_if_small(roots, classes), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = meet.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("bucket")
+        meet = cut(meet.join(several, "bucket"))
+        rest = _pairs(meet, _all_lead(meet)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        roots, classes, tested = _linked(rest, roots, classes, tested, rows, known, idf, text, doc_id)
     found = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest", "left").join(broadcast_if_small(roots, classes), "node", "left")
     return found.select(F.col("id").alias(doc_id), F.when(F.col("id").isNotNull(), F.coalesce("root", "node", "id")).alias("class_id"))
 
 
+def _all_lead(members: DataFrame) -> DataFrame:
+    return members.select("bucket", F.col("node").alias("leader"), F.col("weight").alias("w2"), F.col("root").alias("root2"))
+
+
+def _linked(pairs: DataFrame, roots: DataFrame, classes: int, tested: DataFrame, rows: DataFrame, known: np.ndarray, idf: np.ndarray, text: str,
+            doc_id: str) -> tuple[DataFrame, int, DataFrame]:
+    """The classes, their number of nodes and all pairs tested after pairs are verified."""
+    pairs, n = cut_counted(pairs)
+    if n:
+        tested = tested.union(pairs)
+        links, new = verified(pairs, rows, known, idf, text, doc_id)
+        if new:
+            roots, classes = _joined(roots, links)
+    return roots, classes, tested
+
+
+def prefix(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a text, in the order of their counters, up to the last that SIMILAR of the weight does not lie behind.
+
+    The common part of two similar texts weighs SIMILAR of either one at least, so its first shingle is in both prefixes.
+    """
+    order = np.lexsort((hashes, counts[(hashes % np.uint64(COUNTERS)).astype(np.intp)]))
+    behind = np.cumsum(weights[order][::-1], dtype=np.float64)[::-1]
+    return hashes[order][behind >= (SIMILAR - 1e-4) * behind[0]]
+
+
+def prefixes(nodes: DataFrame, n: int, docs: DataFrame, known: np.ndarray, idf: np.ndarray, text: str, doc_id: str) -> DataFrame:
+    """(node, weight, bucket): the prefix of every node's text; shingles are ordered by how many of these texts hold them."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    met = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).join(broadcast_if_small(nodes, n), "node")
+    # Rows that repeat an id are all taken; their prefixes are of one class.
+    texts = cut(met.select("node", "weight", "_t"))
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, raw, offsets in text_slices(batch, "_t"):
+                hashes = weighted_shingles(raw, offsets, known, idf)[0]
+                total += np.bincount((hashes % np.uint64(COUNTERS)).astype(np.intp), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    met_counts = texts.select("_t").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[met_counts.column("at").to_numpy()] = met_counts.column("n").to_numpy()
+
+    def run(batches):
+        for batch in batches:
+            for part, raw, offsets in text_slices(batch, "_t"):
+                hashes, weights, bounds = weighted_shingles(raw, offsets, known, idf)
+                mine = [prefix(hashes[a:b], weights[a:b], counts) if b > a else hashes[:0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                take = pa.array(np.repeat(np.arange(len(mine)), [len(m) for m in mine]))
+                yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("weight").take(take), pa.array(np.concatenate(mine).view(np.int64))],
+                                                 names=["node", "weight", "bucket"])
+
+    return cut(texts.mapInArrow(run, f"node {kind}, weight float, bucket bigint"))
+
+
 def _joined(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame, int]:
     """(node, root) and their number after links are added to the stars known so far."""
     new = links.select("a", "b")
