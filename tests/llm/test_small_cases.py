@@ -136,6 +136,19 @@ def test_surrogates(spark, odd, nothing):
     assert private_data.with_surrogates(nothing, b"key").count() == 0
 
 
+def test_surrogates_gate_passes_what_the_finder_matches(spark):
+    finder, names = private_data.Mentions(), private_data._name_hashes()
+    around = ["“{}”", "{}’s", "—{}", "\u00a0{}\u00a0", "x-{}", "{}-Paul", "«{}»", "…{}…", "{}\u0301", "„{}‚", "日。{}、", "({})", "_ {}"]
+    words = [w for table in (private_data.TITLES, private_data.GIVEN) for ws in table.values() for w in ws.split()]
+    texts = [a.format(f"{w} Doe") for a in around for w in words] + [a.format(w) for a in around for w in words] + ["١٢٣٤٥٦٧٨٩", "plain words only", ""]
+    data = [t.encode() for t in texts]
+    gate = private_data.suspects(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]), names)
+    assert [t for t, g in zip(texts, gate, strict=True) if finder.of(t) and not g] == [] and not gate[-2:].any()
+    docs = spark.createDataFrame([(1, "said “Alice,” and —Mrs Doe left"), (2, "١٢٣٤٥٦٧٨٩")], "doc_id bigint, text string")
+    a, b = [r.text for r in private_data.with_surrogates(docs, b"key").orderBy("doc_id").collect()]
+    assert "Alice" not in a and "Doe" not in a and b.isdecimal() and len(b) == 9 and b != "١٢٣٤٥٦٧٨٩"
+
+
 def test_surrogates_stay_distinct(spark):
     names = [f"{chr(65 + i % 26)}{'aeiou'[i // 26 % 5]}{'bcdfghjklm'[i // 130 % 10]}ek" for i in range(1300)]
     real = spark.createDataFrame([("family", n.casefold()) for n in names], "kind string, value string")

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,10 @@ FINDER = "|".join([
 GENDER = {w: g for g, words in TITLES.items() for w in words.split()}
 GIVEN_GENDER = {w: g for g, words in GIVEN.items() for w in words.split()}
 
-WORD = byte_table((48, 57), (65, 90), (97, 122), (128, 255), (45, 45))
+WORD = byte_table((48, 57), (65, 90), (97, 122), (128, 255))
+# By code point, what FINDER takes for a letter or digit (\w without the underscore) and for a digit (\d).
+ALNUM = np.array([chr(c).isalnum() for c in range(0x110000)])
+DECIMAL = np.array([chr(c).isdecimal() for c in range(0x110000)])
 
 
 def _luhn(digits: str) -> int:
@@ -112,7 +116,8 @@ class Mentions:
                     out.append((m.start("n_family"), m.end("n_family"), "family", m["n_family"].casefold()))
                     families[m["n_family"]] = "family"
             else:
-                value = m[0].lower() if kind == "email" else re.sub(r"[^0-9A-Z.+]" if kind in ("iban", "ip") else r"[^0-9+]", "", m[0])
+                plain = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in m[0])  # digits of other scripts
+                value = m[0].lower() if kind == "email" else re.sub(r"[^0-9A-Z.+]" if kind in ("iban", "ip") else r"[^0-9+]", "", plain)
                 out.append((m.start(), m.end(), kind, value))
         if families:  # bare mentions of a family name met with a title or a given name
             taken = {p for s, e, _, _ in out for p in range(s, e)}
@@ -222,16 +227,26 @@ class Surrogates:
 
 
 def _name_hashes() -> np.ndarray:
-    words = [w for table in (TITLES, GIVEN) for words in table.values() for w in words.split()]
+    # Of a hyphenated entry its longest part stands for it: texts are broken at hyphens.
+    words = [max(w.split("-"), key=len) for table in (TITLES, GIVEN) for words in table.values() for w in words.split()]
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
     return np.sort(span_hashes(data, np.concatenate([[0], ends[:-1] + 1]), ends))
 
 
 def suspects(raw: np.ndarray, offsets: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Texts of a slice that may hold an entity: an at sign, four digits or more, or a word of the title and name lists."""
+    """Texts of a slice that may hold an entity: an at sign, four digits or more, or a word of the title and name lists.
+
+    Words end where FINDER's do, at every character that is no letter or digit, so no text that it would match is missed.
+    """
     flag = per_text(raw == 64, offsets) > 0
-    flag |= per_text(byte_table((48, 57))[raw], offsets) >= 4
+    digit = byte_table((48, 57))[raw]
+    if (raw > 127).any():
+        head = (raw & 0xC0) != 0x80
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        digit[head] = DECIMAL[points]
+        raw = np.where(ALNUM[points][np.cumsum(head) - 1], raw, np.uint8(32))
+    flag |= per_text(digit, offsets) >= 4
     flat = Flat(raw, offsets, WORD)
     words = flat.hashes()
     if len(words):
