@@ -65,7 +65,9 @@ FINDER = "|".join([
     rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d))",
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
     r"(?P<card>(?<!\w)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w))",
-    r"(?P<phone>(?<![\w.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+\d{8,15})(?!\w))",
+    # Pairs ('06 12 34 56 78', '+33 6 12 34 56 78'), area and a long number ('030 1234567', '+49 (0)30 1234567'), groups of three or four.
+    r"(?P<phone>(?<![\w.+-])(?:(?:\+\d{1,3}[ .-]?(?:\(0\) ?)?[1-9]\d{0,3}|0\d{1,4})[ ./-](?:\d{2}[ .-]){2,3}\d{2}"
+    r"|(?:\+\d{1,3}[ .-]?(?:\(0\) ?)?[1-9]\d{1,4}[ /-]|\(0\d{1,4}\)[ /-]?|0\d{1,4}[ /-])\d{5,9}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+\d{8,15})(?!\w))",
     r"(?P<account>(?<!\w)\d{9,}(?!\w))",
     rf"(?P<titled>(?<!\w)(?P<title>{_ANY(TITLES)})\.? (?P<t_names>{_NAME}(?: {_NAME}){{0,2}}))",
     rf"(?P<named>(?<!\w)(?P<given>{_ANY(GIVEN)})(?: (?P<n_family>{_NAME}))?(?!\w))",
@@ -119,11 +121,11 @@ class Mentions:
                 plain = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in m[0])  # digits of other scripts
                 value = m[0].lower() if kind == "email" else re.sub(r"[^0-9A-Z.+]" if kind in ("iban", "ip") else r"[^0-9+]", "", plain)
                 out.append((m.start(), m.end(), kind, value))
-        if families:  # bare mentions of a family name met with a title or a given name
+        if families:  # bare mentions of a name met with a title, or of a family name met with a given name
             taken = {p for s, e, _, _ in out for p in range(s, e)}
-            for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, families))})(?!\w)", text):
-                if m.start() not in taken and families[m[0]] == "family":
-                    out.append((m.start(), m.end(), "family", m[0].casefold()))
+            for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(families, key=len, reverse=True)))})(?!\w)", text):
+                if taken.isdisjoint(range(m.start(), m.end())):
+                    out.append((m.start(), m.end(), families[m[0]], m[0].casefold()))
             out.sort()
         return out
 
