@@ -149,6 +149,17 @@ def test_surrogates_gate_passes_what_the_finder_matches(spark):
     assert "Alice" not in a and "Doe" not in a and b.isdecimal() and len(b) == 9 and b != "١٢٣٤٥٦٧٨٩"
 
 
+def test_surrogates_of_bare_given_names_and_paired_phones():
+    finder = private_data.Mentions()
+    found = finder.of("Ms Priya Patel came. Later Priya said that Patel and Priya Patel left.")
+    assert [(k, v) for _, _, k, v in found] == [("given_f", "priya"), ("family", "patel"), ("given_f", "priya"), ("family", "patel"), ("given_f", "priya"), ("family", "patel")]
+    for phone in ("06 12 34 56 78", "06.12.34.56.78", "+33 6 12 34 56 78", "+33 (0)6 12 34 56 78", "030 1234567", "030/1234567", "(030) 1234567", "+49 30 1234567",
+                  "0176 12345678", "+1 (017) 555-7713", "017 555 7713"):
+        assert [(s, e, k) for s, e, k, _ in finder.of(f"call {phone}, please")] == [(5, 5 + len(phone), "phone")], phone
+    for other in ("in 2019 12345 rows", "0.12345678", "2024-10-11 12:30", "10 20 30 40 50"):
+        assert finder.of(other) == [], other
+
+
 def test_surrogates_stay_distinct(spark):
     names = [f"{chr(65 + i % 26)}{'aeiou'[i // 26 % 5]}{'bcdfghjklm'[i // 130 % 10]}ek" for i in range(1300)]
     real = spark.createDataFrame([("family", n.casefold()) for n in names], "kind string, value string")
@@ -178,6 +189,25 @@ def test_secrets(spark, odd, nothing):
     assert secret_scan.secret_scan(odd).count() == 12 and secret_scan.secret_scan(nothing).count() == 0
 
 
+def test_secrets_in_other_alphabet_and_over_lines(spark):
+    rng = np.random.default_rng(7)
+    texts, spans = [], []
+    for k in range(600):
+        inner = f"user {rng.integers(10**9)} password={''.join(rng.choice(list('abcdefghXYZ0123456789'), 20))} end {rng.integers(10**9)}"
+        data = zlib.compress(inner.encode()) if k % 3 else inner.encode()
+        if k < 300:
+            run, lead, tail = base64.urlsafe_b64encode(data).decode(), "see ", " there"
+        else:
+            plain, width = (base64.b64encode(data * (1 if k % 3 else 3)).decode()), (76, 64, 20)[k % 5 % 3]
+            run = ("\n", "\r\n", "\n  ")[k % 4 % 3].join(plain[i: i + width] for i in range(0, len(plain), width))
+            lead, tail = ("-----BEGIN DATA-----\n", "key\n", "")[k % 7 % 3], ("\n-----END DATA-----", "\n\nthanks", "\nthanks\nall")[k % 7 % 3]
+        texts.append(lead + run + tail)
+        spans.append((len(lead), len(lead) + len(run)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "assign"] for r in secret_scan.secret_scan(docs).collect()}
+    assert [k for k in range(600) if spans[k] not in rows[k]] == []
+
+
 def test_secret_layers_end():
     text = "token=abcdefgh12"
     for _ in range(6):

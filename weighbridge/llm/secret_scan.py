@@ -1,7 +1,7 @@
 """Secrets in texts and in what is encoded inside them.
 
 A worklist holds layers of a text. Every layer is scanned; then what it wraps is unwrapped: percent escapes, Unicode escapes, base64 runs,
-and compressed data inside base64. New layers go on the list until none is new: a layer met before is not scanned again, so data that
+and compressed data inside base64, in either alphabet and over single line breaks. New layers go on the list until none is new: a layer met before is not scanned again, so data that
 unpacks into itself ends. Each layer knows, for every character, which characters of the whole text it came from, so a secret found
 five layers deep is reported where it stands in the text.
 """
@@ -15,6 +15,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ LAYER_BYTES = 64 << 20  # an unpacked layer beyond this is a bomb: it is counted
 PERCENT = r"(?:%[0-9A-Fa-f]{2})+"
 ESCAPES = r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+"
 ONE_ESCAPE = r"\\[uU]\{?([0-9A-Fa-f]+)\}?|\\x([0-9A-Fa-f]{2})"
-BASE64 = r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}"
+ALPHABETS = ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]")
+# One run or several over single line breaks, one of them long enough; the first may stand behind other text and be short.
+BASE64 = [rf"(?:{a}++\r?\n[ \t]*+)?{a}{{16,}}+(?:\r?\n[ \t]*+{a}++)*+={{0,2}}+" for a in ALPHABETS]
 
 
 class Unread(Exception):
@@ -91,6 +94,64 @@ def unwrap_base64(run: str) -> str | None:
     return readable(data)
 
 
+def _lines(text: str) -> list[list[tuple[int, int]]]:
+    """Lists of (start, end) of the lines that may be one base64 run, for either alphabet; a run of one line is a list of one."""
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for pattern, letter in zip(BASE64, ALPHABETS, strict=True):
+        for m in re.finditer(pattern, text):
+            runs = [(r.start() + m.start(), r.end() + m.start()) for r in re.finditer(letter + "+", m[0])]
+            runs[-1] = (runs[-1][0], m.end())
+            n = [b - a for a, b in runs]
+            for i in range(len(runs)):
+                if n[i] >= MIN_BASE64:
+                    out[runs[i]] = runs[i: i + 1]
+                # Wrapped lines have one width, the first and the last may be shorter: a run starts where widths change and ends where they do.
+                if i + 1 < len(runs) and (i < 2 or n[i] != n[i - 1] or n[i + 1] != n[i]):
+                    j = i + 2
+                    out[runs[i][0], runs[j - 1][1]] = runs[i:j]
+                    while j < len(runs) and n[j] == n[i + 1]:
+                        j += 1
+                    for k in {j, min(j + 1, len(runs))}:
+                        out[runs[i][0], runs[k - 1][1]] = runs[i:k]
+    return list(out.values())
+
+
+def base64_layers(text: str, unread: list | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, content) of the base64 runs of a text, the longest first; a part whose content a longer run holds is left out."""
+    found: list[tuple[int, int, str]] = []
+    inside: set[tuple[int, int]] = set()  # lines of decoded runs that begin with a whole group of four letters
+    whole: list[int] = []  # starts and ends of decoded runs of one line, in text order
+    ends: list[int] = []
+    for lines in sorted(_lines(text), key=lambda x: (x[0][0] - x[-1][1], x[0][0])):
+        start, end = lines[0][0], lines[-1][1]
+        if (start, end) in inside or len(lines) == 1 and (at := bisect_right(whole, start) - 1) >= 0 and end <= ends[at] and (start - whole[at]) % 4 == 0:
+            continue
+        try:
+            content = unwrap_base64("".join(text[a:b] for a, b in lines))
+        except Unread:
+            if unread is not None:
+                unread.append(start)
+                continue
+            raise
+        if content is None:
+            continue
+        # Compressed data ends by itself: lines behind its end are not of the run.
+        while len(lines) > 1 and unwrap_base64("".join(text[a:b] for a, b in lines[:-1])) == content:
+            lines = lines[:-1]
+            end = lines[-1][1]
+        found.append((start, end, content))
+        before = 0
+        for a, b in lines:
+            if before % 4 == 0:
+                inside.add((a, b))
+            before += b - a
+        if len(lines) == 1:
+            at = bisect_right(whole, start)
+            whole.insert(at, start)
+            ends.insert(at, end)
+    return found
+
+
 def _percent(run: str) -> list[tuple[str, int]] | None:
     """Decoded characters of a run of percent escapes with the length each had there."""
     text = readable(bytes.fromhex(run.replace("%", "")))
@@ -140,15 +201,9 @@ class Layer:
     def unwrapped(self, unread: list) -> list[Layer]:
         """The layers directly inside this one."""
         found = [x for x in (self.rewritten(PERCENT, _percent), self.rewritten(ESCAPES, _escaped)) if x]
-        for m in re.finditer(BASE64, self.text):
-            try:
-                text = unwrap_base64(m[0])
-            except Unread:
-                unread.append(m.start())
-                continue
-            if text is not None:
-                whole = np.ones(len(text), np.int64)
-                found.append(Layer(text, whole * self.start[m.start()], whole * self.end[m.end() - 1], self.depth + 1))
+        for start, end, text in base64_layers(self.text, unread):
+            whole = np.ones(len(text), np.int64)
+            found.append(Layer(text, whole * self.start[start], whole * self.end[end - 1], self.depth + 1))
         return found
 
 
@@ -198,16 +253,18 @@ def suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         flag[np.searchsorted(offsets, at[ok[raw[at + 1]]], "right") - 1] = True
     token = byte_table((48, 57), (65, 90), (97, 122), (43, 43), (47, 47), (45, 45), (95, 95))
     for t, a, b in zip(*long_runs(raw, offsets, token, MIN_BASE64), strict=True):
-        if not flag[t]:
-            last = np.searchsorted(offsets, b - 1, "right") - 1
-            if last != t:
-                flag[t: last + 1] = True
+        last = np.searchsorted(offsets, b - 1, "right") - 1
+        if last != t:  # also if t is flagged: the others may not be
+            flag[t: last + 1] = True
+        elif not flag[t]:
+            # A run at a line break may go on in the next line or begin in the one before.
+            if b < len(raw) and raw[b] in b"\r\n" or raw[:a][-64:].tobytes().rstrip(b" \t")[-1:] in (b"\n", b""):
+                flag[t] = True
                 continue
-            for m in re.finditer(BASE64, raw[a:b].tobytes().decode("ascii")):
-                try:
-                    flag[t] |= unwrap_base64(m[0]) is not None
-                except Unread:
-                    flag[t] = True
+            try:
+                flag[t] |= bool(base64_layers(raw[a:b].tobytes().decode("ascii")))
+            except Unread:
+                flag[t] = True
     return flag
 
 
