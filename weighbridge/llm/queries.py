@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.llm import bpe, decontaminate, language_id, near_dup, private_data, quality_classifier, quality_rules, quotations, secret_scan, shards
+from weighbridge.llm import (bpe, decontaminate, importance, jaccard_join, language_id, near_dup, private_data, quality_classifier, quality_rules, quotations, repair,
+                             secret_scan, shards)
 from weighbridge.llm.flat import picked
 from weighbridge.llm.registry import ORACLES, QUERIES, query, table
 
@@ -133,3 +134,66 @@ FROM walk w JOIN links l USING (id) JOIN chain c USING (id)
 """)
 def op9_quotations(spark, sf_dir):
     return quotations.link_quotations(mailbox(spark, sf_dir))
+
+
+@query("op11_jaccard_join", r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT n, doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN []
+    WHEN len(w) < 5 THEN [md5(array_to_string(w, ' '))]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: md5(array_to_string(w[k:k + 4], ' ')))) END AS s
+  FROM docs),
+rows AS (SELECT DISTINCT doc_id, s FROM sets WHERE doc_id IS NOT NULL AND len(s) > 0),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM rows),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS seen FROM rows
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.seen = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce((SELECT min(seen) FROM reach r WHERE r.doc_id = sets.doc_id), doc_id) AS component_id FROM sets
+""")
+def op11_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op12_importance", r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+target AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+run AS (SELECT n, unnest(words) AS word FROM docs),
+steps AS (
+  SELECT list(c ORDER BY i) AS step FROM (
+    SELECT i, list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::UBIGINT[], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, i::UBIGINT) AS c
+    FROM range(256) t(i))),
+buckets AS (
+  SELECT word, xor(list_reduce(list_transform(range(0, length(hex(encode(word))) // 2), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::UBIGINT),
+    lambda c, b: xor(c // 256, step[(xor(c, b) % 256)::INT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM (SELECT word FROM run UNION SELECT word FROM target), steps),
+source AS (SELECT bucket, count(*) AS s FROM run JOIN buckets USING (word) GROUP BY bucket),
+wanted AS (SELECT bucket, count(*) AS t FROM target JOIN buckets USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM source) AS ss, (SELECT coalesce(sum(t), 0) FROM wanted) AS tt),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (ss + 10000))::DOUBLE / ((s + 1) * (tt + 10000))::DOUBLE))::BIGINT AS g
+  FROM source LEFT JOIN wanted USING (bucket), totals),
+weights AS (SELECT n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM run JOIN buckets USING (word) JOIN gain USING (bucket) GROUP BY n),
+scored AS (
+  SELECT n, doc_id, coalesce(len(words), 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (n)),
+placed AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, 10 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (n)
+""")
+def op12_importance(spark, sf_dir):
+    return importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_repair")
+def op13_repair(spark, sf_dir):
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
