@@ -151,9 +151,10 @@ def may_link(n1: Column, i1: Column, n2: Column, i2: Column, percent: int) -> Co
     return (100 * F.least(n1, n2).cast("bigint") >= percent * F.greatest(n1, n2)) & ((100 + percent) * F.least(n1 - i1, n2 - i2).cast("bigint") >= percent * both)
 
 
-def ordered_sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray, text: str, doc_id: str, size: int) -> DataFrame:
-    """(set, places): the whole ordered set of every wanted (set, id)."""
-    ids, n = cut_counted(wanted.select(F.col("id").alias("_wanted")).distinct())
+def ordered_sets(docs: DataFrame, pairs: DataFrame, named: DataFrame, rarity: np.ndarray, text: str, doc_id: str, size: int) -> DataFrame:
+    """(set, places): the whole ordered set of every set of pairs (a, b); named holds a row (set, id) for it. Nothing else is read from the texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    ids, n = cut_counted(named.join(wanted, "set", "left_semi").select(F.col("id").alias("_wanted")).distinct())
     texts = docs.select(doc_id, text).join(broadcast_if_small(ids, n), F.col(doc_id) == F.col("_wanted"), "left_semi").select(text)
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
@@ -164,8 +165,8 @@ def ordered_sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray, text: s
                 if sets:
                     yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.list_(pa.int64()))], names=["set", "places"])
 
-    # Rows that repeat an id may bring a set twice.
-    return cut(texts.mapInArrow(run, "set bigint, places array<bigint>").groupBy("set").agg(F.first("places").alias("places")))
+    # Rows that repeat an id may bring a set twice; a link found twice is one link.
+    return cut(texts.mapInArrow(run, "set bigint, places array<bigint>"))
 
 
 def _flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +202,9 @@ def intersections(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarr
     return np.bincount(o[1:][same], minlength=n)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
-    """The pairs (a, b) of candidates (a, b, i, j) that are similar enough, and their number."""
+def verified(pairs: DataFrame, fetch, percent: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) of candidates (a, b, i, j) that are similar enough, and their number; fetch(pairs) brings their sets."""
+    sets = fetch(pairs)
     side = lambda name: sets.select(F.col("set").alias(name), F.col("places").alias(f"_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "i", "j", "_a", "_b")
 
@@ -233,7 +235,7 @@ def _candidates(met: DataFrame) -> DataFrame:
         F.min(F.when(swap, F.col("j")).otherwise(F.col("i"))).alias("i"), F.min(F.when(swap, F.col("i")).otherwise(F.col("j"))).alias("j"), F.count(F.lit(1)).alias("shared"))
 
 
-def set_classes(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, int]:
+def set_classes(members: DataFrame, fetch, percent: int) -> tuple[DataFrame | None, int]:
     """(node, root) of every set that is linked with another, and their number."""
     first = members.groupBy("e").agg(F.min(F.struct(F.col("i").alias("j"), F.col("set").alias("y"), F.col("n").alias("m"))).alias("l")).select("e", "l.*")
     met = members.withColumnRenamed("set", "x").join(first, "e").filter((F.col("x") != F.col("y")) & may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent))
@@ -242,12 +244,12 @@ def set_classes(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     tested, n = cut_counted(_candidates(best).drop("shared"))
     if not n:
         return None, 0
-    links, n = verified(tested, sets, percent)
+    links, n = verified(tested, fetch, percent)
     roots, classes = cut_counted(components(links)) if n else (None, 0)
     rest = _across(members, roots, classes, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest, n = cut_counted(rest.select("a", "b", "i", "j"))
     if n:
-        more, n = verified(rest, sets, percent)
+        more, n = verified(rest, fetch, percent)
         if n:
             links = links.union(more)
             roots, classes = cut_counted(components(links))
@@ -285,9 +287,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     every = cut(prefixes(named, rarity, text, size, percent))
     shared, n = cut_counted(every.groupBy("e").agg(F.min("set").alias("_lo"), F.max("set").alias("_hi")).filter("_lo <> _hi").select("e"))
     members = cut(every.join(broadcast_if_small(shared, n), "e", "left_semi").groupBy("set", "e").agg(F.first("n").alias("n"), F.first("i").alias("i")))
-    wanted = signs.filter(F.col("id").isNotNull()).join(members.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("id").alias("id"))
-    roots, classes = set_classes(members, ordered_sets(rows, wanted, rarity, text, doc_id, size), percent)
-    least = signs.filter(F.col("set").isNotNull() & F.col("id").isNotNull()).groupBy("set").agg(F.min("id").alias("first"))
+    least = cut(signs.filter(F.col("set").isNotNull() & F.col("id").isNotNull()).groupBy("set").agg(F.min("id").alias("first")))
+    fetch = lambda pairs: ordered_sets(rows, pairs, least.withColumnRenamed("first", "id"), rarity, text, doc_id, size)
+    roots, classes = set_classes(members, fetch, percent)
     if roots is not None:
         small = lambda: broadcast_if_small(roots.select(F.col("node").alias("set"), "root"), classes)
         of = cut(least.join(small(), "set", "left").withColumn("root", F.coalesce("root", "set")))
