@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighbridge.functions.text import ngram_hashes, ngrams
-from weighbridge.session import BROADCAST_ROWS, broadcast_if_small, cut
+from weighbridge.functions.windows import Bitmap, first_of_each, slices, word_windows
+from weighbridge.session import broadcast_if_small, cut
 
 N = 13
 NEAR_DUPLICATE = 0.2
+BLOCK = 1 << 16  # bytes of a bitmap that travel as one row
 
 
 def gram_bound(texts: DataFrame, text: str) -> int:
@@ -17,32 +20,109 @@ def gram_bound(texts: DataFrame, text: str) -> int:
     return int(texts.agg(F.coalesce(F.sum((F.char_length(text) + 1) / 2), F.lit(0.0))).first()[0])
 
 
+def _windows(batch: pa.RecordBatch, text: str, n: int):
+    """(from row, to row, windows) of pieces of a batch whose text column is lower-cased."""
+    for low, high, data, offsets in slices(batch.column(text)):
+        yield low, high, word_windows(data, offsets, n)
+
+
+def gram_bitmap(texts: DataFrame, text: str, n: int, bits: int) -> Bitmap:
+    """A bitmap of all n-grams of a text column: every task sends the blocks it has bits in, equal blocks are merged."""
+
+    def run(batches):
+        seen = Bitmap(bits)
+        for batch in batches:
+            for _, _, w in _windows(batch, "t", n):
+                seen.add(w.hashes)
+        for i in range(0, len(seen.data), BLOCK):
+            block = seen.data[i: i + BLOCK]
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["block", "bits"])
+
+    def merge(batches):
+        merged: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, b in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                b = np.frombuffer(b, np.uint8)
+                merged[i] = merged[i] | b if i in merged else b
+        for i, b in merged.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([b.tobytes()], pa.binary())], names=["block", "bits"])
+
+    schema = "block int, bits binary"
+    blocks = texts.select(F.lower(text).alias("t")).mapInArrow(run, schema).repartition("block").mapInArrow(merge, schema).toArrow()
+    out = Bitmap(bits)
+    for i, b in zip(blocks.column("block").to_pylist(), blocks.column("bits").to_pylist(), strict=True):
+        out.data[i * BLOCK: i * BLOCK + len(b)] |= np.frombuffer(b, np.uint8)
+    return out
+
+
+def distinct_grams(texts: DataFrame, text: str, n: int = N) -> DataFrame:
+    """(g): the distinct n-grams of a text column as strings."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, w in _windows(batch, "t", n):
+                yield pa.RecordBatch.from_arrays([pa.array([w.text(k) for k in np.unique(w.hashes, return_index=True)[1]], pa.string())], names=["g"])
+
+    return texts.select(F.lower(text).alias("t")).mapInArrow(run, "g string").distinct()
+
+
+def suspects(df: DataFrame, bitmap: Bitmap, text: str, n: int) -> DataFrame:
+    """Every row without its text, with the number of its distinct n-grams and those the bitmap does not rule out. No shuffle."""
+    rest = [f for f in df.schema if f.name != text]
+    shared = df.sparkSession.sparkContext.broadcast((bitmap.bits, bitmap.data.tobytes()))
+
+    def run(batches):
+        known = Bitmap(shared.value[0], np.frombuffer(shared.value[1], np.uint8))
+        for batch in batches:
+            for low, high, w in _windows(batch, "_lower", n):
+                mine = first_of_each(w.owner, w.hashes)
+                owner = w.owner[mine]
+                maybe = known.may_hold(w.hashes[mine])
+                shown = pa.array([w.text(k) for k in mine[maybe]], pa.string())
+                bounds = np.searchsorted(owner[maybe], np.arange(high - low + 1)).astype(np.int32)
+                part = batch.slice(low, high - low)
+                columns = [part.column(f.name) for f in rest]
+                columns += [pa.array(np.bincount(owner, minlength=high - low)), pa.ListArray.from_arrays(pa.array(bounds), shown)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in rest], "grams", "_maybe"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", grams bigint, _maybe array<string>"
+    return df.select(*[f.name for f in rest], F.lower(text).alias("_lower")).mapInArrow(run, schema)
+
+
 def ngram_contamination(df: DataFrame, evaluation: DataFrame, text: str = "text", n: int = N) -> DataFrame:
-    """Per id: distinct n-grams, how many occur in the evaluation text, and their ratio (null without n-grams).
+    """Per row: distinct n-grams, how many occur in the evaluation text, and their ratio (null without n-grams). Other columns stay, the text goes.
 
-    One pass over the corpus explodes only 64-bit hashes. With the evaluation side broadcast (under a counted
-    bound) they never shuffle: counts collapse to one row per id inside each task. Otherwise both sides shuffle
-    on the hash. Rows with a hash hit, and only those, are then looked at again as strings, so hits are exact.
+    The evaluation side, however large, becomes a bitmap of at most 64 MB. One pass over the corpus counts every text's distinct windows and
+    keeps as strings those in the bitmap; nothing else leaves a task. The survivors meet the evaluation strings in an inner join, so hits
+    are exact. A fuller bitmap (beyond some 30 million distinct n-grams) lets more through and misses none.
     """
-    bound = gram_bound(evaluation, text)
-    rest = [c for c in df.columns if c not in ("id", text)]
-    hashes = evaluation.select(F.explode(ngram_hashes(F.col(text), n)).alias("g")).distinct().withColumn("_hit", F.lit(1))
-    probe = df.select("id", F.explode_outer(ngram_hashes(F.col(text), n)).alias("g"))
-    counted = cut(
-        probe.join(broadcast_if_small(hashes, bound), "g", "left").groupBy("id").agg(
-            F.count("g").alias("grams"), F.count("_hit").alias("_suspect"))
-    )
-    suspects = counted.filter(F.col("_suspect") > 0).select("id")
-    suspects = broadcast_if_small(suspects, suspects.count())  # so that no text shuffles to find them
-    eval_grams = evaluation.select(F.explode(ngrams(F.col(text), n)).alias("g")).distinct()
-    shown = df.select("id", text).join(suspects, "id", "left_semi").select("id", F.explode(ngrams(F.col(text), n)).alias("g"))
-    hits = shown.join(broadcast_if_small(eval_grams, bound, BROADCAST_ROWS // 10), "g", "left_semi").groupBy("id").agg(
-        F.count(F.lit(1)).alias("hits")
-    )
-    narrow = cut(counted.drop("_suspect").join(hits, "id", "left"))  # three numbers per row, read many times
-    return df.select("id", *rest).join(narrow, "id").withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn(
-        "ratio", F.col("hits") / F.nullif(F.col("grams"), F.lit(0))
-    )
+    bitmap = gram_bitmap(evaluation, text, n, Bitmap.size_for(gram_bound(evaluation, text)))
+    counted = cut(suspects(df, bitmap, text, n).withColumn("_row", F.monotonically_increasing_id()))
+    shown = counted.filter(F.size("_maybe") > 0).select("_row", F.explode("_maybe").alias("g"))
+    found = cut(shown.join(distinct_grams(evaluation, text, n), "g").groupBy("_row").agg(F.count(F.lit(1)).alias("hits")))
+    return counted.drop("_maybe").join(broadcast_if_small(found, found.count()), "_row", "left").drop("_row").withColumn(
+        "hits", F.coalesce("hits", F.lit(0))).withColumn("ratio", F.col("hits") / F.nullif(F.col("grams"), F.lit(0)))
+
+
+def gram_counts(df: DataFrame, by: str, text: str = "text", n: int = N) -> DataFrame:
+    """(by, rows, grams): distinct n-grams of every text, summed, and the distinct ones of the group.
+
+    N-grams travel as two independent 64-bit hashes, and copies collapse in the task that meets them.
+    """
+    kind = df.schema[by].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for low, _, data, offsets in slices(batch.column("_lower")):
+                one, two = word_windows(data, offsets, n), word_windows(data, offsets, n, seed=1)
+                mine = first_of_each(one.owner, one.hashes)
+                yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(one.owner[mine] + low)), pa.array(one.hashes[mine].view(np.int64)),
+                                                  pa.array(two.hashes[mine].view(np.int64))], names=[by, "a", "b"])
+
+    grams = df.select(by, F.lower(text).alias("_lower")).mapInArrow(run, f"`{by}` {kind}, a bigint, b bigint")
+    per = grams.groupBy(by, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(by).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("grams"))
 
 
 def near_duplicate_filter(measured: DataFrame, max_ratio: float = NEAR_DUPLICATE) -> DataFrame:

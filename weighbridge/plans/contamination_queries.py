@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weighbridge.functions.hashing import seeded_order
-from weighbridge.functions.text import ngrams
 from weighbridge.operators import contamination as ops
 from weighbridge.plans.fixtures import SEED, evaluation_texts, r6, records
 from weighbridge.plans.registry import query, view
@@ -59,7 +58,4 @@ def contamination_by_source(spark, d):
 
 @query("x05_ngrams", "SELECT source, count(*) AS rows, count(DISTINCT g) AS grams FROM fx_grams GROUP BY source")
 def _x05(spark, d):
-    grams = records(spark, d).select("source", F.explode(ngrams(F.col("state"))).alias("g"))
-    # Count copies of a gram before the distinct count, so boilerplate collapses map-side.
-    per = grams.groupBy("source", "g").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("source").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("grams"))
+    return ops.gram_counts(records(spark, d).select("source", F.col("state").alias("text")), "source")
