@@ -14,10 +14,12 @@ from weighbridge.functions.probability import argmax, expected_labels, softmax,
 from weighbridge.functions.text import canonical_json, let
 from weighbridge.operators.ranking import rank_percentile
 from weighbridge.operators.readout import Calibration, replay, same_answer
+from weighbridge.operators.resampling import poisson_intervals
 from weighbridge.operators.scoring import METRICS, answer_distribution
 
 # Bootstrap sizes and gate limits.
 RESAMPLES = 10_000
+SOURCE_RESAMPLES = 2_000
 TABLE_RESAMPLES = 20_000
 GATES = {"accuracy_gain": 0.03, "ood_lower_bound": -0.015, "parity_agreement": 0.99, "parity_mean_tvd": 0.01,
          "readout_nll": 0.05, "readout_accuracy": 0.02}
@@ -126,16 +128,33 @@ def _wins(items: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def _change(items: DataFrame) -> DataFrame:
+    return items.withColumn("_change", F.col("new").cast("int") - F.col("old").cast("int"))
+
+
 def paired_difference(items: DataFrame, by: str | None = None, resamples: int = RESAMPLES, seed: int = 20260926) -> DataFrame:
-    """Mean new-minus-old correctness with its 95% interval."""
-    counts = _wins(items, [by] if by else []).withColumn("mean", (F.col("wins") - F.col("losses")) / F.col("n"))
-    return with_interval(counts, resamples, seed)
+    """(by, n, wins, losses, mean, low, high): new-minus-old correctness with its 95% interval from weighted rows."""
+    groups = [by] if by else []
+    measure = {"change": (F.col("_change"), F.lit(1))}
+    ends = poisson_intervals(_change(items), "id", measure, groups, resamples, seed).drop("measure", "n")
+    counts = _wins(items, groups)
+    return _joined(counts, ends, groups)
+
+
+def _joined(a: DataFrame, b: DataFrame, groups: list[str]) -> DataFrame:
+    """Two tables of one row a group; without groups each has one row."""
+    if groups:
+        return a.join(b, groups)
+    return a.withColumn("_all", F.lit(1)).join(b.withColumn("_all", F.lit(1)), "_all").drop("_all")
 
 
-def four_way_interval(counts: DataFrame, resamples: int = RESAMPLES, seed: int = 20260926) -> DataFrame:
-    """Add the interval to four-way counts."""
-    named = counts.withColumn("wins", F.col("new_only")).withColumn("losses", F.col("old_only"))
-    return with_interval(named, resamples, seed)
+def dimension_intervals(items: DataFrame, dims: Sequence[str], resamples: int = RESAMPLES, seed: int = 20260926) -> DataFrame:
+    """four_way_by with the interval of the difference for every value of every dimension."""
+    place = {"options": option_bucket(F.col("n_options")), "state_length": state_bucket(F.col("state_chars"))} if "state_chars" in items.columns else {"options": option_bucket(F.col("n_options"))}
+    values = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), place.get(d, F.col(d)).cast("string").alias("value")) for d in dims])).alias("_d")
+    long = _change(items).select("id", "_change", values).select("id", "_change", "_d.*")
+    ends = poisson_intervals(long, "id", {"change": (F.col("_change"), F.lit(1))}, ["dimension", "value"], resamples, seed).select("dimension", "value", "low", "high")
+    return four_way_by(items, dims).join(ends, ["dimension", "value"])
 
 
 def paired_table(items: DataFrame, by: str | None = None) -> DataFrame:
@@ -149,9 +168,10 @@ def paired_table(items: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
-def paired_table_interval(table: DataFrame, seed: int = 20260922) -> DataFrame:
-    """paired_table with its interval in percentage points."""
-    return with_interval(table, TABLE_RESAMPLES, seed, interpolate=True).withColumns({"low": F.col("low") * 100, "high": F.col("high") * 100})
+def paired_table_interval(items: DataFrame, resamples: int = TABLE_RESAMPLES, seed: int = 20260922) -> DataFrame:
+    """paired_table of all items with its interval, in percentage points."""
+    ends = poisson_intervals(_change(items), "id", {"change": (100 * F.col("_change"), F.lit(1))}, (), resamples, seed, interpolate=True)
+    return _joined(paired_table(items), ends.select("low", "high"), [])
 
 
 def flip_rows(items: DataFrame, records: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.functions.probability import total
 from weighbridge.operators import comparison as cmp
+from weighbridge.operators import resampling
 from weighbridge.operators import scoring as ops
 from weighbridge.operators.prompts import reverse_options
 from weighbridge.operators.readout import Calibration, answers
@@ -234,16 +235,31 @@ def _e17(spark, d):
     return cmp.inventory_check(recs, preds)
 
 
-@query("e18_paired_difference")
+_CHANGE = "SELECT {by}id AS key, w - o AS top, 1 AS bottom FROM fx_items"
+_PAIRED = "count(*) AS n, sum(w * (1 - o))::BIGINT AS wins, sum(o * (1 - w))::BIGINT AS losses, avg(w - o) AS mean"
+
+
+def paired_sql(resamples: int, source_resamples: int) -> str:
+    """Paired differences with their intervals, overall and by source."""
+    overall = resampling.intervals_sql(_CHANGE.format(by=""), "", resamples)
+    by_source = resampling.intervals_sql(_CHANGE.format(by="source, "), "source", source_resamples)
+    return (f"SELECT 'overall' AS source, c.*, i.* FROM (SELECT {_PAIRED} FROM fx_items) c, ({overall}) i "
+            f"UNION ALL SELECT c.*, i.low, i.high FROM (SELECT source, {_PAIRED} FROM fx_items GROUP BY source) c JOIN ({by_source}) i ON i.source = c.source")
+
+
+view("fx_paired", paired_sql(cmp.RESAMPLES, cmp.SOURCE_RESAMPLES))
+
+
+@query("e18_paired_difference", "SELECT source, n, wins, losses, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM fx_paired")
 def _e18(spark, d):
     pairs = kept_items(spark, d)
     overall = cmp.paired_difference(pairs).withColumn("source", F.lit("overall"))
-    return rounded(overall.unionByName(cmp.paired_difference(pairs, "source")))
+    return rounded(overall.unionByName(cmp.paired_difference(pairs, "source", cmp.SOURCE_RESAMPLES)))
 
 
 @query("e18_paired_means", "SELECT source, count(*) AS n, sum(w * (1 - o))::BIGINT AS wins, sum(o * (1 - w))::BIGINT AS losses, round(avg(w - o), 6) AS mean FROM fx_items GROUP BY source")
 def _e18_means(spark, d):
-    return rounded(cmp.paired_difference(items(spark, d), "source").select("source", "n", "wins", "losses", "mean"))
+    return rounded(cmp.paired_difference(items(spark, d), "source", resamples=4).select("source", "n", "wins", "losses", "mean"))
 
 
 @query("e19_paired_table", """
@@ -253,9 +269,12 @@ def _e19(spark, d):
     return rounded(cmp.paired_table(items(spark, d), "source"))
 
 
-@query("e19_paired_interval")
+@query("e19_paired_interval", f"""
+SELECT c.*, round(low, 6) AS low, round(high, 6) AS high
+FROM (SELECT count(*) AS n, sum(o * w)::BIGINT AS both_correct, sum((1 - o) * (1 - w))::BIGINT AS both_wrong, sum(w * (1 - o))::BIGINT AS wins, sum(o * (1 - w))::BIGINT AS losses,
+  round(100 * avg(w - o), 6) AS delta_pp FROM fx_items) c, ({resampling.intervals_sql("SELECT id AS key, 100 * (w - o) AS top, 1 AS bottom FROM fx_items", "", cmp.TABLE_RESAMPLES, 20260922, True)}) i""")
 def _e19_interval(spark, d):
-    return rounded(cmp.paired_table_interval(cmp.paired_table(items(spark, d))))
+    return rounded(cmp.paired_table_interval(kept_items(spark, d)))
 
 
 @query("e20_four_way", f"SELECT {_FOUR} FROM fx_items")
@@ -274,9 +293,51 @@ def _e21(spark, d):
     return rounded(cmp.four_way_by(items(spark, d), list(_DIMS)))
 
 
-@query("e21_four_way_intervals")
+_THREE = ("primitive", "family", "options")
+_LONG = " UNION ALL ".join(f"SELECT '{k}' AS dimension, {_DIMS[k]} AS value, id AS key, w - o AS top, 1 AS bottom FROM fx_items" for k in _THREE)
+
+
+@query("e21_four_way_intervals", f"SELECT c.*, ({_PLACE.replace('value', 'c.value')})::INT AS place, round(low, 6) AS low, round(high, 6) AS high FROM ("
+       + " UNION ALL ".join(f"SELECT '{k}' AS dimension, {_DIMS[k]} AS value, {_FOUR} FROM fx_items GROUP BY 2" for k in _THREE)
+       + f") c JOIN ({resampling.intervals_sql(_LONG, 'dimension, value', cmp.SOURCE_RESAMPLES)}) i ON i.dimension = c.dimension AND i.value = c.value")
 def _e21_intervals(spark, d):
-    return rounded(cmp.four_way_interval(cmp.four_way_by(items(spark, d), ["primitive", "family", "options"])))
+    return rounded(cmp.dimension_intervals(kept_items(spark, d), _THREE, cmp.SOURCE_RESAMPLES))
+
+
+# --- bootstrap intervals of any metric ------------------------------------------------------------------------
+
+_DRAWS = 1000
+_BOTH = ("SELECT o.id, o.source, o.family, o.\"group\", CASE WHEN o.valid AND n.valid THEN n.nll - o.nll END AS nll, CASE WHEN o.valid AND n.valid THEN n.brier_multiclass - o.brier_multiclass END AS brier "
+         "FROM fx_scored_old o JOIN fx_scored_new n ON n.id = o.id")
+view("fx_changes", f"SELECT id, source, family, \"group\" AS grp, u.measure, u.x FROM ({_BOTH}), unnest([{{'measure': 'nll', 'x': nll}}, {{'measure': 'brier', 'x': brier}}]) AS t(u)")
+
+
+def metric_changes_rows(spark, d) -> DataFrame:
+    """New minus old loss of every record valid in both runs, with its dimensions."""
+    side = lambda which, *dims: scored(spark, d, which).select("id", *dims, *[F.when(F.col("reason").isNull(), F.col(m)).alias(f"{which}_{m}") for m in ("nll", "brier_multiclass")])
+    both = side("old", "source", "family", "group").join(side("new"), "id")
+    change = lambda m, name: (F.col(f"new_{m}") - F.col(f"old_{m}")).alias(name)
+    return cut(both.select("id", "source", "family", "group", change("nll", "nll"), change("brier_multiclass", "brier")))
+
+
+@query("b02_poisson_intervals", f"""
+SELECT c.source, c.measure, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high
+FROM (SELECT source, measure, count(x) AS n, avg(x) AS mean FROM fx_changes GROUP BY source, measure) c
+JOIN ({resampling.intervals_sql("SELECT source, measure, id AS key, x AS top, 1 AS bottom FROM fx_changes", "source, measure", _DRAWS)}) i ON i.source = c.source AND i.measure = c.measure""")
+def _b02(spark, d):
+    measures = {m: (F.col(m), F.lit(1)) for m in ("nll", "brier")}
+    return rounded(resampling.poisson_intervals(metric_changes_rows(spark, d), "id", measures, ["source"], _DRAWS))
+
+
+_CLUSTERS = "SELECT family, measure, grp AS key, sum(x) AS top, nullif(count(x), 0) AS bottom FROM fx_changes GROUP BY family, measure, grp"
+
+
+@query("b03_cluster_intervals", f"""
+SELECT c.family, c.measure, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high
+FROM (SELECT family, measure, count(top) AS n, sum(top) / sum(bottom) AS mean FROM ({_CLUSTERS}) GROUP BY family, measure) c
+JOIN ({resampling.intervals_sql(_CLUSTERS, "family, measure", _DRAWS)}) i ON i.family = c.family AND i.measure = c.measure""")
+def _b03(spark, d):
+    return rounded(resampling.cluster_intervals(metric_changes_rows(spark, d), "group", {m: F.col(m) for m in ("nll", "brier")}, ["family"], _DRAWS))
 
 
 _SPREAD = """
@@ -480,12 +541,22 @@ def _e30(spark, d):
     return rounded(cmp.latency_changes(*both))
 
 
-@query("e31_release_gates")
+view("fx_ood", resampling.intervals_sql(_CHANGE.format(by="") + " WHERE source = 's4'", "", cmp.RESAMPLES))
+
+
+@query("e31_release_gates", f"""
+WITH o AS (SELECT nll, ece FROM fx_report_old WHERE scope = 'overall'), n AS (SELECT nll, ece FROM fx_report_new WHERE scope = 'overall')
+SELECT 'test_accuracy_gain' AS gate, mean >= 0.03 AND low > 0 AS passed, round(mean, 6) AS value, '' AS detail FROM fx_paired WHERE source = 'overall'
+UNION ALL SELECT 'test_nll_not_worse', n.nll <= o.nll, round(n.nll, 6), '' FROM o, n
+UNION ALL SELECT 'test_ece_not_worse', n.ece <= o.ece, round(n.ece, 6), '' FROM o, n
+UNION ALL SELECT 'ood_lower_bound', low >= -0.015, round(low, 6), '' FROM fx_ood
+UNION ALL SELECT 'source_regressions', count(*) = 0, count(*)::DOUBLE, coalesce(string_agg(source, ',' ORDER BY source), '') FROM fx_paired WHERE source <> 'overall' AND high < 0""")
 def _e31(spark, d):
     old, new = kept(spark, d, "old"), kept(spark, d, "new")
     pairs = cut(cmp.paired_items(old, new))
     overall = lambda s: full_report(s).filter(F.col("scope") == "overall")
-    return rounded(cmp.release_gates(cmp.paired_difference(pairs), cmp.paired_difference(pairs.filter(F.col("source") == "s4")), cmp.paired_difference(pairs, "source"), overall(old), overall(new)))
+    by_source = cmp.paired_difference(pairs, "source", cmp.SOURCE_RESAMPLES)
+    return rounded(cmp.release_gates(cmp.paired_difference(pairs), cmp.paired_difference(pairs.filter(F.col("source") == "s4")), by_source, overall(old), overall(new)))
 
 
 @query("e32_readout_gate", """
