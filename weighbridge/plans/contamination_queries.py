@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.functions.hashing import seeded_order
 from weighbridge.operators import contamination as ops
+from weighbridge.operators import diversity
 from weighbridge.plans.fixtures import SEED, evaluation_texts, r6, records
 from weighbridge.plans.registry import query, view
 
@@ -59,3 +60,24 @@ def contamination_by_source(spark, d):
 @query("x05_ngrams", "SELECT source, count(*) AS rows, count(DISTINCT g) AS grams FROM fx_grams GROUP BY source")
 def _x05(spark, d):
     return ops.gram_counts(records(spark, d).select("source", F.col("state").alias("text")), "source")
+
+
+_MASKED = "regexp_replace(regexp_replace(state, '[0-9]+([.,][0-9]+)*', '#', 'g'), '[A-Z][A-Za-z]*', '@', 'g')"
+view("fx_five", f"""
+SELECT source, state, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+FROM (SELECT DISTINCT source, state, {_WORDS.format(t='state')} AS w FROM fx_records) WHERE len(w) >= 5""")
+
+
+@query("d22_diversity", f"""
+WITH g AS (SELECT source, md5(state) AS k, len(s) AS n, unnest(s) AS g FROM fx_five),
+near AS (
+  SELECT source, count(DISTINCT k) AS near FROM (
+    SELECT a.source, a.k FROM g a JOIN g b ON a.source = b.source AND a.g = b.g AND a.k <> b.k AND 100 * least(a.n, b.n) >= 95 * greatest(a.n, b.n)
+    GROUP BY a.source, a.k, b.k, a.n, b.n HAVING 195 * count(*) >= 95 * (a.n + b.n)) GROUP BY source),
+shapes AS (SELECT source, max(n) AS top FROM (SELECT source, {_MASKED} AS t, count(*) AS n FROM fx_records GROUP BY ALL) GROUP BY source)
+SELECT r.source, r.records, r.exact_copies, round(top / records, 6) AS template_share, round(coalesce(near, 0) / records, 6) AS near_share
+FROM (SELECT source, count(*) AS records, count(*) - count(DISTINCT state) AS exact_copies FROM fx_records GROUP BY source) r
+JOIN shapes t ON t.source = r.source LEFT JOIN near n ON n.source = r.source""")
+def _d22(spark, d):
+    out = diversity.diversity_report(records(spark, d).select("source", "state"))
+    return out.select("source", "records", "exact_copies", r6("template_share").alias("template_share"), r6("near_share").alias("near_share"))
