@@ -46,3 +46,20 @@ def test_hex_mod_is_exact(spark):
         got = {r[0]: r[1] for r in df.select("k", seeded_bucket(F.col("k"), k)).collect()}
         assert got == {key: int(hashlib.sha256(key.encode()).hexdigest(), 16) % k for key in keys}
     assert df.select(hex_mod(F.sha2("k", 256), 4)).count() == 200
+
+
+def test_rank_percentile_of_a_million_values_in_a_narrow_range(spark):
+    """All values share their leading bits; no group is sorted and no window is used."""
+    df = spark.range(1_000_000).select((F.lit(1.0) + (F.col("id") * 7919 % 1_000_000) * F.lit(2.0**-40)).alias("v"))
+    out = rank_percentile(df, [], "v", {"median": 0.5, "p95": 0.95})
+    row = out.first()
+    assert (row["n"], row["median"], row["p95"]) == (1_000_000, 1 + round(999_999 * 0.5) * 2.0**-40, 1 + round(999_999 * 0.95) * 2.0**-40)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_percentile_orders_all_doubles(spark):
+    vs = [0.0, -0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 1.7e308, -1.7e308, 1.0, -1.0, 2.5]
+    df = spark.createDataFrame([(v,) for v in vs] + [(None,)], "v double")
+    for k in range(len(vs)):
+        assert rank_percentile(df, [], "v", {"x": k / (len(vs) - 1)}).first()["x"] == sorted(vs)[k]
+    assert rank_percentile(df.filter("v > 1e309"), [], "v", {"x": 0.5}).count() in (0, 1)

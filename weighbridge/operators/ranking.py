@@ -1,7 +1,7 @@
 """Exact ranks without putting a whole group into one task.
 
-Hash-ordered ranks split every group by hash prefix (4,096 even pieces); value ranks bracket the wanted
-rank with approximate quantiles and then count exactly. Both are exact whatever the skew.
+Hash-ordered ranks split every group by hash prefix (4,096 even pieces); value ranks are found by counting over
+leading bits, round by round. Both are exact whatever the skew.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weighbridge.functions.text import let
 from weighbridge.session import broadcast_if_small, cut
 
 PREFIX = 3  # hex digits
-ACCURACY = 50_000  # of the approximate quantiles that bracket a rank
+DIGIT = 16  # bits of a value that one round of a selection counts by
 GROUPS_BROADCAST = 100_000
 
 
@@ -45,64 +46,59 @@ def ranked(df: DataFrame, by: list[str], order: str, tie: str, limit: Column | i
 
 
 def _attach(rows: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
-    """Put a materialised one-row-per-group table beside the rows; without groups its single row becomes literals."""
+    """Put a written one-row-per-group table beside the rows; without groups its single row stands beside all."""
     if by:
         return rows.join(broadcast_if_small(small, small.count(), GROUPS_BROADCAST), by)
-    one = small.first()
-    for field in small.schema:
-        value = F.lit(None) if one is None or one[field.name] is None else _literal(one[field.name])
-        rows = rows.withColumn(field.name, value.cast(field.dataType))
-    return rows
+    return rows.withColumn("_all", F.lit(1)).join(F.broadcast(small.withColumn("_all", F.lit(1))), "_all").drop("_all")
 
 
-def _literal(value) -> Column:
-    if isinstance(value, list):
-        return F.array(*[_literal(v) for v in value])
-    if hasattr(value, "asDict"):
-        return F.struct(*[_literal(v).alias(k) for k, v in value.asDict().items()])
-    return F.lit(value)
+def _order_key(value: Column) -> Column:
+    """The bits of a double as a number that sorts like the value: those of a negative one are turned round. Negative zero is zero."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return let(bits, lambda b: F.when(b < 0, b.bitwiseXOR(F.lit(2**63 - 1))).otherwise(b))
+
+
+def _pick(cells: Column, at: Column) -> Column:
+    """The cell that holds sorted index at, and the index inside it; cells are in order of their prefix."""
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast(SLOT).alias("hit"))
+    here = lambda s, c: F.struct(c["p"].alias("p"), (at - s["before"]).alias("at"), (c["lo"] == c["hi"]).alias("done"), c["v"].alias("v"))
+    step = lambda s, c: F.struct((s["before"] + c["c"]).alias("before"), F.when(s["hit"].isNotNull(), s["hit"]).when(s["before"] + c["c"] > at, here(s, c)).alias("hit"))
+    return F.aggregate(cells, start, step, lambda s: s["hit"])
+
+
+SLOT = "struct<p:bigint,at:bigint,done:boolean,v:double>"
 
 
 def rank_percentile(df: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Per group: n and the value at sorted index round((n-1)*f), half to even, for every named fraction.
 
-    Three passes of partial aggregates: approximate quantiles bracket every wanted rank, exact counts place the
-    rank inside its bracket, and only the distinct values of the bracket (a ten-thousandth of a group) are sorted.
+    Radix selection: values become 64-bit keys of the same order; a round counts rows by their leading bits in partial aggregates, keeps for every
+    wanted rank the one prefix that holds it, and the next round counts the following bits of rows with a kept prefix. A prefix with one value
+    ends its search, so there are at most four rounds. No rows are sorted, and a round yields at most 65,536 counts a group and fraction.
     """
     names = list(fractions)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    # An approximate quantile is off by at most n/accuracy ranks; the bracket allows for twice that.
-    lows = [max(0.0, f - 2 / ACCURACY) for f in fractions.values()]
-    highs = [min(1.0, f + 2 / ACCURACY) for f in fractions.values()]
-    bounds = cut(rows.groupBy(*by).agg(
-        F.percentile_approx("_v", lows, ACCURACY).alias("_lo"), F.percentile_approx("_v", highs, ACCURACY).alias("_hi")
-    ))
+    keyed = cut(rows.withColumn("_k", _order_key(F.col("_v"))))
+    cell = F.struct(F.col("_p").alias("p"), F.col("_c").alias("c"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_w").alias("v"))
+
+    def counted(part: DataFrame, bits: int) -> DataFrame:
+        cells = part.groupBy(*by, F.shiftright("_k", bits).alias("_p")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"), F.min("_v").alias("_w"))
+        return cells.groupBy(*by).agg(F.sum("_c").alias("_n"), F.sort_array(F.collect_list(cell)).alias("_cells"))
+
+    wanted = [F.rint((F.col("_n") - 1) * F.lit(f)).cast("bigint") for f in fractions.values()]
+    found = counted(keyed, 64 - DIGIT).filter(F.col("_n") > 0)
+    plan = cut(found.select(*by, F.col("_n").alias("n"), *[_pick(F.col("_cells"), w).alias(f"_s{i}") for i, w in enumerate(wanted)]))
     each = range(len(names))
-    exact = _attach(rows, bounds, by).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
-        F.array(*[F.count_if(F.col("_v") < F.col("_lo")[i]) for i in each]).alias("_below"),
-        F.array(*[F.count_if(F.col("_v") <= F.col("_hi")[i]) for i in each]).alias("_upto"),
-    )
-    wanted = [F.rint((F.col("n") - 1) * F.lit(f)).cast("bigint") for f in fractions.values()]
-    # Should a bracket miss its rank, the whole range takes its place: slower, still exact.
-    slots = [
-        F.when((F.col("_below")[i] <= wanted[i]) & (wanted[i] < F.col("_upto")[i]),
-               F.struct(F.col("_lo")[i].alias("lo"), F.col("_hi")[i].alias("hi"),
-                        (wanted[i] - F.col("_below")[i]).alias("at")))
-        .otherwise(F.struct(F.col("_min").alias("lo"), F.col("_max").alias("hi"), wanted[i].alias("at")))
-        for i in each
-    ]
-    plan = cut(exact.select(*by, "n", F.array(*slots).alias("_slots")))
-    inside = lambda s: (F.col("_v") >= s["lo"]) & (F.col("_v") <= s["hi"])
-    # Spelled out per slot: a higher-order condition over both join sides is not kept above the join.
-    any_slot = reduce(lambda a, b: a | b, [inside(F.col("_slots")[i]) for i in each])
-    near = _attach(rows, plan.drop("n"), by).filter(any_slot)
-    tallies = near.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_slots").alias("_slots"))
-    placed = tallies.select(*by, "_v", "_c", F.posexplode("_slots").alias("_i", "_s")).filter(inside(F.col("_s")))
-    running = Window.partitionBy(*by, "_i").orderBy("_v")
-    hit = placed.withColumn("_cum", F.sum("_c").over(running)).filter(
-        (F.col("_cum") > F.col("_s.at")) & (F.col("_cum") - F.col("_c") <= F.col("_s.at"))
-    )
-    wide = hit.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)])
-    return plan.select(*by, "n").join(wide, by) if by else _attach(wide, plan.select("n"), by).select("n", *names)
+    for bits in range(64 - 2 * DIGIT, -1, -DIGIT):
+        waiting = reduce(lambda a, b: a | b, [~F.col(f"_s{i}.done") for i in each])
+        if plan.filter(waiting).isEmpty():
+            break
+        open_ = plan.filter(waiting).select(*by, *[F.when(~F.col(f"_s{i}.done"), F.col(f"_s{i}.p")).alias(f"_p{i}") for i in each])
+        head = F.shiftright("_k", bits + DIGIT)
+        inside = reduce(lambda a, b: a | b, [F.coalesce(head == F.col(f"_p{i}"), F.lit(False)) for i in each])
+        cells = cut(counted(_attach(keyed, open_, by).filter(inside), bits).drop("_n"))
+        both = plan.join(cells, by, "left") if by else _attach(plan, cells, by)
+        mine = lambda i: F.filter("_cells", lambda c: F.shiftright(c["p"], DIGIT) == F.col(f"_s{i}.p"))
+        plan = cut(both.select(*by, "n", *[F.when(F.col(f"_s{i}.done"), F.col(f"_s{i}")).otherwise(_pick(mine(i), F.col(f"_s{i}.at"))).alias(f"_s{i}") for i in each]))
+    return plan.select(*by, "n", *[F.col(f"_s{i}.v").alias(name) for i, name in enumerate(names)])

@@ -556,7 +556,10 @@ def _e31(spark, d):
     pairs = cut(cmp.paired_items(old, new))
     overall = lambda s: full_report(s).filter(F.col("scope") == "overall")
     by_source = cmp.paired_difference(pairs, "source", cmp.SOURCE_RESAMPLES)
-    return rounded(cmp.release_gates(cmp.paired_difference(pairs), cmp.paired_difference(pairs.filter(F.col("source") == "s4")), by_source, overall(old), overall(new)))
+    change = F.col("new").cast("int") - F.col("old").cast("int")
+    measures = {"test": (change, F.lit(1)), "ood": (F.when(F.col("source") == "s4", change), F.lit(1))}  # one pass for both
+    ends = cut(resampling.poisson_intervals(pairs, "id", measures, resamples=cmp.RESAMPLES))
+    return rounded(cmp.release_gates(ends.filter("measure = 'test'"), ends.filter("measure = 'ood'"), by_source, overall(old), overall(new)))
 
 
 @query("e32_readout_gate", """
