@@ -135,3 +135,33 @@ def test_stages_never_share_a_state(spark):
     names = ["test", "dev", "calibration", "train"]
     assert out.count() > 0
     assert all(r["shared"] == 0 for r in ops.overlap_matrix(out, names).collect())
+
+
+def _greedy(rows, quotas):
+    """Group after group in seq order: the first k rows whose state no earlier group took."""
+    taken, out = set(), set()
+    for source, seq, k in sorted(quotas, key=lambda q: q[1]):
+        mine = sorted((h, i, s) for g, i, s, h in rows if g == source and s not in taken)[:k]
+        out |= {(source, i) for _, i, _ in mine}
+        taken |= {s for _, _, s in mine}
+    return out
+
+
+def test_bounded_pool_equals_the_greedy_walk(spark, monkeypatch):
+    from weighbridge.operators import selection
+
+    rng = random.Random(8)
+    for window in (10**6, 0):
+        monkeypatch.setattr(selection, "WINDOW_ROWS", window)
+        for shared in (0.1, 0.6, 1.0):
+            rows = []
+            for g in range(4):
+                states = {f"s{rng.randrange(60)}" if rng.random() < shared else f"own{g}-{i}" for i in range(80)}
+                rows += [(f"g{g}", f"{g}/{s}", s, f"{rng.getrandbits(128):032x}") for s in sorted(states)]
+            quotas = [(f"g{g}", g + 1, rng.randrange(1, 25)) for g in range(4)]
+            cand = spark.createDataFrame(rows, "source string, id string, state_sha256 string, h string")
+            q = spark.createDataFrame(quotas, "source string, seq int, k bigint")
+            got = {(r.source, r.id) for r in selection.multi_quota(cand, q, ["source"]).collect()}
+            assert got == _greedy(rows, quotas)
+            pool, n = selection.bounded(cand.join(q, "source"), ["source"], F.col("seq"))
+            assert pool.count() == n <= len(rows) and (shared > 0.1 or n < 0.6 * len(rows))

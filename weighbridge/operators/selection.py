@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weighbridge.functions.hashing import seeded_order
 from weighbridge.operators.ranking import ranked
 from weighbridge.session import cut
 
 KEYS = ["id", "state_sha256"]
+WINDOW_ROWS = 1_000_000  # narrow rows of a group that one task may sort
 
 
 def key_union(*tables: DataFrame) -> DataFrame:
@@ -99,9 +101,37 @@ def select_unique_report(df: DataFrame, k: int, seed: str, tag: str, by: Sequenc
     return chosen, rejected
 
 
-def _changed(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
-    marks = a.select(*keys, F.lit(1).alias("_m")).unionByName(b.select(*keys, F.lit(-1).alias("_m")))
-    return not marks.groupBy(*keys).agg(F.sum("_m").alias("_m")).filter(F.col("_m") != 0).isEmpty()
+def _cut_marked(df: DataFrame, keys: list[str]) -> tuple[DataFrame, tuple[int, int]]:
+    """cut(df), its number of rows and a fingerprint of their keys, both taken while it is written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*keys).cast("decimal(38,0)")).alias("mark")))
+    return out, (seen.get["n"], seen.get["mark"])
+
+
+def bounded(pool: DataFrame, by: list[str], place: Column) -> tuple[DataFrame, int]:
+    """The rows of a pool (by, state_sha256, h, id, k) that a greedy walk may reach, written, and their number.
+
+    A row whose state stands at one place only can never be blocked, so a group is full at its k-th such row at the latest; what lies
+    behind is dropped. A group with fewer of them stays whole. pool holds one row a group and state.
+    """
+    single = pool.groupBy("state_sha256").agg(
+        F.min(place).alias("_lo"), F.max(place).alias("_hi"), F.min(F.struct(*by, "h", "id", "k")).alias("_r")).filter("_lo = _hi").select("_r.*")
+    last = ranked(single, by, "h", "id", F.col("k")).filter(F.col("rank") == F.col("k")).select(*by, F.col("h").alias("_last"))
+    # One row a group of the quota table.
+    reach = pool.join(F.broadcast(last), by, "left").filter(F.col("_last").isNull() | (F.col("h") <= F.col("_last")))
+    out, (n, _) = _cut_marked(reach.drop("_last"), ["id"])
+    return out, n
+
+
+def ranker(pool: DataFrame, n: int, by: list[str]):
+    """How rounds over a bounded pool of n rows rank its groups: in one window each while the largest is small, else in pieces. Same ranks."""
+    largest = n if n <= WINDOW_ROWS else pool.groupBy(*by).count().agg(F.max("count")).first()[0]
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
+        return rows.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= F.col("k"))
+
+    return windowed if largest <= WINDOW_ROWS else lambda rows: ranked(rows, by, "h", "id", F.col("k"))
 
 
 def multi_quota(candidates: DataFrame, quotas: DataFrame, by: Sequence[str], rounds: int | None = None) -> DataFrame:
@@ -110,20 +140,22 @@ def multi_quota(candidates: DataFrame, quotas: DataFrame, by: Sequence[str], rou
     candidates: `firsts` output. quotas: (by..., seq, k), one place in one order per group. A group may not take
     a state taken by an earlier group. Every round picks for all groups at once and blocks what earlier groups
     picked the round before; after round r the first r+1 groups are final, so the result equals the greedy walk.
+    Rounds see the bounded pool only, whose size follows the quotas and not the table.
     """
-    by = list(by)
-    pool = cut(candidates.join(quotas, by))
+    by, quotas = list(by), cut(quotas)
+    pool, n = bounded(cut(candidates.join(F.broadcast(quotas), by)), by, F.col("seq"))  # quotas have one row a group
     cap = rounds or quotas.count() + 1
-    picks = cut(ranked(pool, by, "h", "id", F.col("k")))
+    rank = ranker(pool, n, by)
+    picks, mark = _cut_marked(rank(pool), [*by, "id"])
     for _ in range(cap):
         owner = picks.groupBy("state_sha256").agg(F.min("seq").alias("_owner"))
         free = pool.join(owner, "state_sha256", "left").filter(
             F.col("_owner").isNull() | (F.col("_owner") >= F.col("seq"))
         ).drop("_owner")
-        following = cut(ranked(free, by, "h", "id", F.col("k")))
-        if not _changed(picks, following, [*by, "id"]):
-            return following
-        picks = following
+        picks, now = _cut_marked(rank(free), [*by, "id"])
+        if now == mark:
+            return picks
+        mark = now
     raise RuntimeError("selection did not settle within its proven number of rounds")
 
 
@@ -172,34 +204,34 @@ def balanced_binary(df: DataFrame, cap: int, order: DataFrame, seed: str, tag: s
     """
     by = ["source", "label"]
     free0 = firsts(df, seed, tag, by, exclude, keep)
-    pool = cut(free0.join(order, "source").withColumn("place", F.col("seq") * 2 + F.when(F.col("label") == "1", 0).otherwise(1)))
+    whole = cut(free0.join(order, "source").withColumn("place", F.col("seq") * 2 + F.when(F.col("label") == "1", 0).otherwise(1)).withColumn("k", F.lit(cap).cast("bigint")))
+    pool, n = bounded(whole, by, F.col("place"))
+    pool, rank = pool.drop("k"), ranker(pool, n, by)
+    # Availability counts the whole table once; a round takes off the rows that picks of earlier sources block. Only states of
+    # several sources can be blocked, and those are written once.
+    base = cut(whole.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n")))
+    several = whole.groupBy("state_sha256").agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi")).filter("_lo <> _hi").select("state_sha256")
+    shared = cut(whole.join(several, "state_sha256", "left_semi").select("source", "label", "seq", "state_sha256"))
 
     def step(picks: DataFrame | None):
-        rows = pool
+        rows, left = pool.withColumn("_place", F.lit(None).cast("int")), base
         if picks is not None:
             owner = picks.groupBy("state_sha256").agg(F.min("seq").alias("_source"), F.min("place").alias("_place"))
-            rows = rows.join(owner, "state_sha256", "left").filter(
-                F.col("_source").isNull() | (F.col("_source") >= F.col("seq"))
-            )
-        else:
-            rows = rows.withColumn("_place", F.lit(None).cast("int"))
-        # One row per (source, label, state), so counting rows counts distinct states.
-        avail = rows.groupBy("source").agg(
-            F.count_if(F.col("label") == "1").alias("available_yes"),
-            F.count_if(F.col("label") == "0").alias("available_no"),
-        )
+            rows = pool.join(owner, "state_sha256", "left").filter(F.col("_source").isNull() | (F.col("_source") >= F.col("seq")))
+            gone = shared.join(owner, "state_sha256").filter(F.col("_source") < F.col("seq")).groupBy("source", "label").agg(F.count(F.lit(1)).alias("_gone"))
+            left = base.join(gone, by, "left").withColumn("n", F.col("n") - F.coalesce("_gone", F.lit(0)))
+        count = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0))
+        avail = left.groupBy("source").agg(count("1").alias("available_yes"), count("0").alias("available_no"))
         k = avail.withColumn("k", F.least(F.lit(cap).cast("bigint"), "available_yes", "available_no"))
         open_rows = rows.filter(F.col("_place").isNull() | (F.col("_place") >= F.col("place"))).drop("_source", "_place")
-        picked = ranked(open_rows.join(k.select("source", "k"), "source"), by, "h", "id", F.col("k"))
-        return cut(picked), k
+        return *_cut_marked(rank(open_rows.join(k.select("source", "k"), "source")), [*by, "id"]), k
 
-    picks, avail = step(None)
+    picks, mark, avail = step(None)
     for _ in range(2 * order.count() + 1):
-        following, avail = step(picks)
-        settled = not _changed(picks, following, [*by, "id"])
-        picks = following
-        if settled:
+        picks, now, avail = step(picks)
+        if now == mark:
             break
+        mark = now
     else:
         raise RuntimeError("selection did not settle within its proven number of rounds")
     per = picks.groupBy("source").agg(

@@ -11,6 +11,13 @@ from weighbridge.operators import selection as ops
 from weighbridge.operators.ranking import ranked
 from weighbridge.plans.fixtures import SEED, prior, r6, records, source_order, table
 from weighbridge.plans.registry import query, view
+from weighbridge.session import cut
+
+
+def narrow(spark, d) -> DataFrame:
+    """Records without their texts, written once: stages and rounds read keys only."""
+    return cut(records(spark, d).drop("state"))
+
 
 # --- single selections ---------------------------------------------------------------------------------------
 
@@ -79,7 +86,7 @@ WITH cand AS MATERIALIZED (SELECT f.*, o.seq, 4 + o.seq % 5 AS k FROM ({_firsts_
 {_walk_sql('pick', 'cand')}
 SELECT source, id, rank FROM pick{WALK}""")
 def _d04(spark, d):
-    recs = records(spark, d)
+    recs = narrow(spark, d)
     quotas = source_order(recs).withColumn("k", 4 + F.col("seq") % 5)
     cand = ops.firsts(recs, SEED, "test", exclude=prior(recs))
     return ops.multi_quota(cand, quotas, ["source"]).select("source", "id", "rank")
@@ -132,7 +139,7 @@ chosen AS (SELECT split, source, id, state_sha256, rank FROM t{WALK} UNION ALL S
 
 @query("d05_staged_splits", _STAGED + "SELECT split, source, id, rank FROM chosen")
 def _d05(spark, d):
-    return staged(records(spark, d)).select("split", "source", "id", "rank")
+    return staged(narrow(spark, d)).select("split", "source", "id", "rank")
 
 
 @query("s10_split_manifest", _STAGED + """
@@ -141,7 +148,7 @@ SELECT split, coalesce(source, '*') AS source, count(*) AS records,
 FROM (SELECT c.*, count(*) OVER (PARTITION BY split) AS n, ('0x' || substr(md5(id || '|' || state_sha256), 1, 8))::BIGINT AS m FROM chosen c)
 GROUP BY GROUPING SETS ((split, source), (split))""")
 def _s10(spark, d):
-    return ops.split_manifest(staged(records(spark, d))).withColumns({"share": r6("share"), "checksum": F.col("checksum").cast("string")})
+    return ops.split_manifest(staged(narrow(spark, d))).withColumns({"share": r6("share"), "checksum": F.col("checksum").cast("string")})
 
 
 # --- balanced yes/no -----------------------------------------------------------------------------------------
@@ -181,13 +188,13 @@ composition AS (SELECT o.source, 2 * least(y, n) AS records, least(y, n) AS gold
 @query("d06_balanced_binary", _balanced_sql() + """
 SELECT source, coalesce(records, 0) AS records, coalesce(gold_yes, 0) AS gold_yes, available_yes, available_no FROM composition""")
 def _d06(spark, d):
-    return balanced(records(spark, d))[1]
+    return balanced(narrow(spark, d))[1]
 
 
 @query("d06_balanced_rows", _balanced_sql() + f"""
 SELECT b.source, b.label, b.id, b.rank FROM b{WALK} b JOIN composition c ON c.source = b.source WHERE b.rank <= c.gold_yes""")
 def _d06_rows(spark, d):
-    return balanced(records(spark, d))[0].select("source", "label", "id", "rank")
+    return balanced(narrow(spark, d))[0].select("source", "label", "id", "rank")
 
 
 @query("d07_balance_gate", _balanced_sql() + """
@@ -196,7 +203,7 @@ SELECT coalesce(sum(records), 0)::BIGINT AS records, coalesce(sum(gold_yes), 0):
   coalesce(sum(records), 0) >= 150 AND coalesce(sum(gold_yes) / nullif(sum(records), 0), 0) BETWEEN 0.4 AND 0.6 AND count(*) FILTER (records > 0) >= 3 AS passed
 FROM composition""")
 def _d07(spark, d):
-    return ops.balance_gate(balanced(records(spark, d))[1]).withColumn("gold_yes_share", r6("gold_yes_share"))
+    return ops.balance_gate(balanced(narrow(spark, d))[1]).withColumn("gold_yes_share", r6("gold_yes_share"))
 
 
 # --- exclusion keys and leaks --------------------------------------------------------------------------------
