@@ -256,6 +256,13 @@ def set_classes(members: DataFrame, fetch, percent: int) -> tuple[DataFrame | No
     return roots, classes
 
 
+def _able(members: DataFrame, percent: int) -> DataFrame:
+    """Members that some partner could satisfy: a row that fails with the best place of every size of partner links with nobody there."""
+    front = members.groupBy(F.col("e").alias("f"), F.col("n").alias("m")).agg(F.min("i").alias("j"), F.count(F.lit(1)).alias("_rows"))
+    other = (F.col("m") != F.col("n")) | (F.col("_rows") > 1)  # not only itself
+    return members.join(front, (F.col("e") == F.col("f")) & other & may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent), "left_semi")
+
+
 def _across(members: DataFrame, roots: DataFrame | None, classes: int, percent: int) -> DataFrame:
     """Candidates between different classes that pass the length and the positional filter."""
     if roots is None:
@@ -264,10 +271,7 @@ def _across(members: DataFrame, roots: DataFrame | None, classes: int, percent:
         of = members.join(broadcast_if_small(roots, classes), F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set")).drop("node")
     several = lambda df: df.join(df.groupBy("e").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("e"), "e", "left_semi")
     of = cut(several(of))
-    # The best place that a partner of each size has: a row that fails with all of them links with nobody.
-    front = of.groupBy(F.col("e").alias("f"), F.col("n").alias("m")).agg(F.min("i").alias("j"))
-    able = of.join(front, (F.col("e") == F.col("f")) & may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent), "left_semi")
-    able = cut(several(able))
+    able = cut(several(_able(of, percent)))
     right = able.select("e", F.col("set").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
     near = (F.col("x") < F.col("y")) & (F.col("root") != F.col("other")) & may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent)
     return _candidates(able.withColumnRenamed("set", "x").join(right, "e").filter(near))
@@ -287,6 +291,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     every = cut(prefixes(named, rarity, text, size, percent))
     shared, n = cut_counted(every.groupBy("e").agg(F.min("set").alias("_lo"), F.max("set").alias("_hi")).filter("_lo <> _hi").select("e"))
     members = cut(every.join(broadcast_if_small(shared, n), "e", "left_semi").groupBy("set", "e").agg(F.first("n").alias("n"), F.first("i").alias("i")))
+    members = cut(_able(members, percent))
     least = cut(signs.filter(F.col("set").isNotNull() & F.col("id").isNotNull()).groupBy("set").agg(F.min("id").alias("first")))
     fetch = lambda pairs: ordered_sets(rows, pairs, least.withColumnRenamed("first", "id"), rarity, text, doc_id, size)
     roots, classes = set_classes(members, fetch, percent)
