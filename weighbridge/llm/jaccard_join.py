@@ -202,11 +202,14 @@ def intersections(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarr
     return np.bincount(o[1:][same], minlength=n)
 
 
-def verified(pairs: DataFrame, fetch, percent: int) -> tuple[DataFrame, int]:
-    """The pairs (a, b) of candidates (a, b, i, j) that are similar enough, and their number; fetch(pairs) brings their sets."""
+def verified(pairs: DataFrame, n: int, fetch, percent: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) of n candidates (a, b, i, j) that are similar enough, and their number; fetch(pairs) brings their sets."""
     sets = fetch(pairs)
     side = lambda name: sets.select(F.col("set").alias(name), F.col("places").alias(f"_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "i", "j", "_a", "_b")
+    # Pairs are four numbers: while they are few they travel to the sets, and whole sets cross the network once, to meet the other side.
+    left = side("a").join(broadcast_if_small(pairs, n), "a")
+    right = side("b").join(broadcast_if_small(pairs.select("b").distinct(), n), "b", "left_semi")
+    both = left.join(right, "b").select("a", "b", "i", "j", "_a", "_b")
 
     def run(batches):
         for batch in batches:
@@ -244,12 +247,12 @@ def set_classes(members: DataFrame, fetch, percent: int) -> tuple[DataFrame | No
     tested, n = cut_counted(_candidates(best).drop("shared"))
     if not n:
         return None, 0
-    links, n = verified(tested, fetch, percent)
+    links, n = verified(tested, n, fetch, percent)
     roots, classes = cut_counted(components(links)) if n else (None, 0)
     rest = _across(members, roots, classes, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest, n = cut_counted(rest.select("a", "b", "i", "j"))
     if n:
-        more, n = verified(rest, fetch, percent)
+        more, n = verified(rest, n, fetch, percent)
         if n:
             links = links.union(more)
             roots, classes = cut_counted(components(links))
