@@ -37,11 +37,13 @@ def _r02(spark, d):
 SELECT id, CASE WHEN primitive = 'choice' THEN 'c' || (arg_min(pos, (-p, pos)) - 1) END AS choice,
   round(CASE WHEN primitive = 'score' THEN sum((pos - 1) * p) END, 6) AS score,
   round(CASE WHEN primitive = 'noul' THEN 1 / (1 + exp(-((max(logit) FILTER (pos = 1) - max(logit) FILTER (pos = 2)) / 1.25 / 0.8 + 0.5))) END, 6) AS noul,
-  round(CASE primitive WHEN 'choice' THEN greatest(0, (10 * max(p) - 1) / 9) WHEN 'score' THEN greatest(0, 1 - sum(p * abs(pos - mode)) / 1.2) END, 6) AS confidence
+  round(CASE primitive WHEN 'choice' THEN greatest(0, (10 * max(p) - 1) / 9) WHEN 'score' THEN greatest(0, 1 - sum(p * abs(pos - mode)) / 1.2) END, 6) AS confidence,
+  CASE WHEN primitive = 'score' THEN string_agg((pos - 1) || '=Level ' || (pos - 1), ';' ORDER BY pos) END AS legend
 FROM (SELECT *, first_value(pos) OVER (PARTITION BY id ORDER BY p DESC, pos) AS mode FROM fx_hot) GROUP BY id, primitive""")
 def _r03(spark, d):
     rows = answers(traces(decisions(spark, d), 0), FITTED)
-    return rounded(rows.select("id", "answer.choice", "answer.score", "answer.noul", "answer.confidence"))
+    legend = F.array_join(F.transform(F.array_sort(F.map_entries("answer.legend")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return rounded(rows.select("id", "answer.choice", "answer.score", "answer.noul", "answer.confidence", legend.alias("legend")))
 
 
 def recorded(spark, d) -> tuple[DataFrame, DataFrame]:
