@@ -123,3 +123,26 @@ def test_changed_denominators_are_flagged(spark):
     out = {r["metric"]: r for r in cmp.metric_changes(a, b).filter("scope = 'overall'").collect()}
     assert out["accuracy"]["denominators_match"] and not out["accuracy"]["worse"]
     assert not out["nll"]["denominators_match"] and out["nll"]["worse"]
+
+
+def test_whole_suite_report(spark):
+    records = [
+        rec("a", "noul", [], "1", group="g"), rec("b", "noul", [], "1", group="g"), rec("c", "choice", ["a", "b"], "a", group="h"),
+        rec("d", "score", ["0", "1"], "1", group=None),
+    ]
+    predictions = [pred("a", noul=0.5), pred("b", error="no"), pred("c", choice="a", p={"a": 0.5, "b": 0.5}), pred("d", p={"0": 0.25, "1": 0.75})]
+    s = score(spark, records, predictions).withColumns({
+        "suite": F.lit("x"), "subset": F.when(F.col("id") == "d", None).otherwise("s"), "family": F.lit(None).cast("string"),
+        "analytic": F.when(F.col("id") == "c", F.array(F.lit(0.25), F.lit(0.75)))})
+    out = ops.whole_suite_report(s, ("family", "primitive"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1  # records meet predictions once, and nothing is read a second time
+    got = {(r["subset"], r["dimension"], r["value"], r["measure"]): r["amount"] for r in out.collect()}
+    at = lambda measure, subset="all", dimension="all", value="all": got.get((subset, dimension, value, measure))
+    assert (at("n"), at("valid"), at("correct"), at("top_ties"), at("groups")) == (4, 3, 3, 2, 3)
+    assert at("group_macro") == pytest.approx((0.5 + 1 + 1) / 3) and at("group_macro_observed") == 1
+    assert at("n", "null") == 1 and at("n", "s") == 3 and at("rounded_correct", "null") == 1
+    assert at("n", "all", "family", "null") == 4 and at("correct", "s", "primitive", "noul") == 1
+    assert at("analytic_planned") == 1 and at("expected_accuracy") == 0.25 and at("tvd", "s", "primitive", "choice") == pytest.approx(0.25)
+    assert at("analytic_planned", "null") is None and at("groups", "all", "family", "null") is None
+    assert ops.whole_suite_report(s.limit(0)).count() == 0

@@ -84,6 +84,25 @@ def test_file_inventory(spark, tmp_path):
     assert got == {"a.txt": "ok", "sub/b.txt": "checksum differs", "sub/new.txt": "extra", "lost.txt": "missing"}
 
 
+def test_ranges_of_long_and_empty_files(spark, tmp_path, monkeypatch):
+    content = bytes(i * 7 % 251 for i in range(10_000))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "long name.bin").write_bytes(content)
+    (tmp_path / "even.bin").write_bytes(content[:8192])
+    (tmp_path / "empty.bin").write_bytes(b"")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    tree = lambda b: sha("".join(sha(b[i: i + 4096]) for i in range(0, max(1, len(b)), 4096)).encode())
+    want = {"sub/long name.bin": content, "even.bin": content[:8192], "short.bin": b"s"}
+    (tmp_path / "short.bin").write_bytes(b"s")
+    got = {r["name"]: (r["bytes"], r["ranges"], r["range_sha256"]) for r in inv.range_inventory(spark, f"file:{tmp_path}", range_bytes=4096).collect()}
+    assert got == {n: (len(b), max(1, -(-len(b) // 4096)), tree(b)) for n, b in want.items()}
+    manifest = spark.createDataFrame([(n, len(b), sha(b)) for n, b in (want | {"empty.bin": b""}).items()], "name string, bytes long, sha256 string")
+    status = {n: "ok" for n in want} | {"empty.bin": "not listed"}
+    assert {r["name"]: r["status"] for r in inv.inventory_verify(spark, f"file:{tmp_path}", manifest).collect()} == status
+    monkeypatch.setattr(inv, "RANGE", 100)  # all but the short file are streamed
+    assert {r["name"]: r["sha256"] for r in inv.file_inventory(spark, f"file:{tmp_path}").collect()} == {n: sha(b) for n, b in want.items()}
+
+
 def test_only_newlines_end_a_record(spark, tmp_path):
     path = tmp_path / "rows.jsonl"
     path.write_text('{"id": "1", "state": "a b"}\n\n{"id": "2", "state": "c\\r\\nd"}\n')

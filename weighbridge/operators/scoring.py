@@ -181,14 +181,13 @@ def top_ties(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("reason").isNull() & tied).select("id")
 
 
-def analytic_metrics(scored: DataFrame, by: str = "deterministic") -> DataFrame:
-    """Against a known answer distribution q (aligned with the labels): all rows, and per value of `by`."""
+def analytic_values() -> dict[str, Column]:
+    """Per row, against the known answer distribution `analytic` (aligned with the labels)."""
     q, p = F.col("analytic"), F.col("p")
-    ok = F.col("reason").isNull()
     ce = -total(F.zip_with(p, q, lambda x, y: y * F.log(F.greatest(x, F.lit(FLOOR)))))
     entropy = -total(F.transform(q, lambda y: F.when(y > 0, y * F.log(y)).otherwise(0.0)))
     pick = F.array_position(F.col("labels"), F.col("chosen")).cast("int")
-    values = {
+    return {
         "expected_accuracy": F.try_element_at(q, F.nullif(pick, F.lit(0))),
         "bayes_accuracy_ceiling": F.array_max(q),
         "cross_entropy": ce,
@@ -197,6 +196,12 @@ def analytic_metrics(scored: DataFrame, by: str = "deterministic") -> DataFrame:
         "squared_distribution_error": total(F.zip_with(p, q, lambda x, y: (x - y) * (x - y))),
         "expected_brier": total(F.zip_with(p, q, lambda x, y: x * x - 2 * x * y + y)),
     }
+
+
+def analytic_metrics(scored: DataFrame, by: str = "deterministic") -> DataFrame:
+    """Means against the known distribution: all rows, and per value of `by`."""
+    ok = F.col("reason").isNull()
+    values = analytic_values()
     rows = scored.select(by, "reason", *[F.when(ok, v).alias(k) for k, v in values.items()])
     return rows.groupingSets([[], [by]], by).agg(
         F.count(F.lit(1)).alias("planned"), F.count_if(ok).alias("valid"), *[F.avg(k).alias(k) for k in values],
@@ -204,6 +209,66 @@ def analytic_metrics(scored: DataFrame, by: str = "deterministic") -> DataFrame:
     ).withColumn("scope", F.when(F.col("_g") == 1, "all").otherwise(F.col(by).cast("string"))).drop("_g", by)
 
 
+def suite_states(scored: DataFrame, dims: Sequence[str], suite: str = "suite", subset: str = "subset", group: str = "group") -> DataFrame:
+    """One row of sums and counts per cell (suite, subset, dims, group); sums of cells give every measure of every coarser scope.
+
+    Without a column `analytic` the sums against a known distribution are left out; where it is null a row does not count as planned.
+    """
+    ok = F.col("reason").isNull()
+    ordinal = ok & (F.col("primitive") == "score")
+    hit = F.floor(expected_level() + 0.5) == F.col("label").try_cast("bigint")
+    tied = F.size(F.filter("p", lambda x: x == F.array_max("p"))) > 1
+    states = [
+        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("valid"), F.count_if("correct").alias("correct"), F.count_if(ok & tied).alias("top_ties"),
+        F.count_if(ordinal).alias("rounded_valid"), F.count_if(ordinal & hit).alias("rounded_correct"),
+        *[F.sum(m).alias(f"{m}_sum") for m in METRICS], *[F.count(m).alias(f"{m}_n") for m in METRICS],
+    ]
+    keys = list(dict.fromkeys([suite, subset, *dims, group]))
+    rows = scored
+    if "analytic" in scored.columns:
+        known = F.col("analytic").isNotNull()
+        values = analytic_values()
+        rows = scored.withColumns({f"_{k}": F.when(ok & known, v) for k, v in values.items()})
+        states += [F.count_if(known).alias("analytic_planned"), F.count_if(ok & known).alias("analytic_valid"), *[F.sum(f"_{k}").alias(f"{k}_sum") for k in values]]
+    return rows.groupBy(*keys).agg(*states)
+
+
+def whole_suite_report(scored: DataFrame, dims: Sequence[str] = ("family", "primitive"), suite: str = "suite", subset: str = "subset", group: str = "group") -> DataFrame:
+    """(suite, subset, dimension, value, measure, amount): every measure of every suite, in total (subset `all`) and by subset.
+
+    A scope is everything (dimension `all`) or one value of a dimension. Measures: the summary with its interval, judged expected levels, exact ties,
+    means against a known distribution, and for whole scopes the number of groups with both means of group accuracies. A measure that no row
+    has is left out; a null value of a dimension is named `null`. Cells are summed once, so the scored rows are read once, whatever the number of dimensions.
+    """
+    cells = suite_states(scored, dims, suite, subset, group)
+    sums = [c for c in cells.columns if c not in {suite, subset, group, *dims}]
+    cells = cells.select(F.col(suite).alias("_suite"), F.col(subset).alias("_subset"), F.col(group).alias("_group"), *[F.col(d).alias(f"_d{i}") for i, d in enumerate(dims)], *sums)
+    split = [f"_d{i}" for i in range(len(dims))]
+    sets = [[*base, *more] for base in (["_suite"], ["_suite", "_subset"]) for more in ([], *[[c] for c in split], ["_group"])]
+    scopes = cells.groupingSets(sets, "_suite", "_subset", "_group", *split).agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.grouping(c).alias(f"{c}_off") for c in ("_subset", "_group", *split)])
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    dimension, value = F.lit("all"), F.lit("all")
+    for c, d in zip(split, dims, strict=True):
+        dimension = F.when(F.col(f"{c}_off") == 0, F.lit(d)).otherwise(dimension)
+        value = F.when(F.col(f"{c}_off") == 0, named(c)).otherwise(value)
+    # Groups are folded once more: they give their two means to the whole scope that they belong to.
+    of_group = F.col("_group_off") == 0
+    folded = scopes.groupBy(F.col("_suite").alias("suite"), F.when(F.col("_subset_off") == 1, "all").otherwise(named("_subset")).alias("subset"), dimension.alias("dimension"), value.alias("value")).agg(
+        *[F.sum(F.when(~of_group, F.col(c))).alias(c) for c in sums],
+        F.nullif(F.count_if(of_group), F.lit(0)).alias("groups"), F.avg(F.when(of_group, F.col("correct") / F.col("n"))).alias("group_macro"),
+        F.avg(F.when(of_group, F.try_divide("correct", "valid"))).alias("group_macro_observed"))
+    ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    measures = {c: F.col(c) for c in ("n", "valid", "correct", "top_ties", "rounded_valid", "rounded_correct", *[f"{m}_n" for m in METRICS], "groups", "group_macro", "group_macro_observed")}
+    measures |= {"accuracy": ratio("correct", "n"), "wilson_low": wilson_low(F.col("correct"), F.col("n")), "wilson_high": wilson_high(F.col("correct"), F.col("n")),
+                 "rounded_accuracy": ratio("rounded_correct", "rounded_valid")} | {m: ratio(f"{m}_sum", f"{m}_n") for m in METRICS}
+    if "analytic_valid" in sums:
+        some = F.col("analytic_planned") > 0
+        measures |= {c: F.when(some, F.col(c)) for c in ("analytic_planned", "analytic_valid")} | {k: ratio(f"{k}_sum", "analytic_valid") for k in analytic_values()}
+    listed = F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("double").alias("amount")) for k, v in measures.items()])
+    return folded.select("suite", "subset", "dimension", "value", F.inline(listed)).filter(F.col("amount").isNotNull())
+
+
 def suite_report(scored: DataFrame, dims: Sequence[str] = ("family", "primitive")) -> DataFrame:
     """Long format (dimension, value, measures) for the whole suite, every dimension, in one grouping-sets pass."""
     out = scored.groupingSets([[], *[[d] for d in dims]], *dims).agg(*_measures(), F.grouping_id(*dims).alias("_g"))

@@ -86,6 +86,31 @@ def _s07(spark, d):
     return inv.inventory_compare(actual, manifest.unionByName(lost), "name", "rows", "checksum")
 
 
+SHARD_KEYS, SHARD_RANGE = 4000, 8192  # orders in one file, bytes in one hashed range: small, so that every file has several
+
+_LINES = "o_orderkey || '|' || o_custkey || '|' || o_orderstatus || chr(10)"
+view("fx_order_files", f"SELECT 'part=' || (o_orderkey // {SHARD_KEYS}) AS name, string_agg({_LINES}, '' ORDER BY o_orderkey) AS content FROM orders GROUP BY o_orderkey // {SHARD_KEYS}")
+
+
+def order_files(spark, d) -> str:
+    """Orders as text files of one block of keys each."""
+    path = scratch(spark, "files")
+    part = F.floor(F.col("o_orderkey") / SHARD_KEYS).alias("part")
+    lines = table(spark, d, "orders").select(part, "o_orderkey", F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus").alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@query("s07_file_inventory", """
+SELECT f.name, length(f.content) AS bytes, count(*) AS ranges, sha256(f.content) AS sha256, sha256(string_agg(sha256(substr(f.content, u.i * RANGE + 1, RANGE)), '' ORDER BY u.i)) AS range_sha256
+FROM fx_order_files f, unnest(range(0, (length(f.content) + RANGE - 1) // RANGE)) AS u(i) GROUP BY f.name, f.content""".replace("RANGE", str(SHARD_RANGE)))
+def _s07_files(spark, d):
+    path = order_files(spark, d)
+    part = F.substring_index("name", "/", 1).alias("name")
+    whole = inv.file_inventory(spark, path, "*.txt").select(part, "sha256")
+    return inv.range_inventory(spark, path, "*.txt", SHARD_RANGE).select(part, "bytes", "ranges", "range_sha256").join(whole, "name")
+
+
 @query("s07_content_fingerprint", "SELECT source, count(*) AS rows, sum(('0x' || substr(md5(id || '|' || state_sha256), 1, 8))::BIGINT)::VARCHAR AS checksum FROM fx_records GROUP BY source")
 def _s07_table(spark, d):
     return inv.content_fingerprint(records(spark, d), ["id", "state_sha256"], ["source"]).withColumn("checksum", F.col("checksum").cast("string"))

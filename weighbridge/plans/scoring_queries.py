@@ -159,16 +159,20 @@ SELECT s.id, s.vec_id % 2 = 0 AS deterministic, s.valid, sum(h.h) FILTER (h.key
   -sum(h.h * ln(greatest(p.p, 1e-12))) AS cross_entropy, -sum(h.h * ln(greatest(p.p, 1e-12))) + sum(h.h * ln(h.h)) AS kl_divergence,
   0.5 * sum(abs(p.p - h.h)) AS tvd, sum((p.p - h.h) ** 2) AS squared_distribution_error, sum(p.p ** 2 - 2 * p.p * h.h + h.h) AS expected_brier
 FROM fx_scored_new s JOIN fx_p_new p ON p.vec_id = s.vec_id JOIN fx_human h ON h.vec_id = s.vec_id AND h.key = p.key
-WHERE s.primitive = 'choice' GROUP BY ALL""")
+GROUP BY ALL""")
 _ANALYTIC = ("expected_accuracy", "bayes_accuracy_ceiling", "cross_entropy", "kl_divergence", "tvd", "squared_distribution_error", "expected_brier")
 
 
+def with_analytic(items: DataFrame) -> DataFrame:
+    """A known answer distribution for every decision."""
+    votes = F.transform(F.slice("e", F.lit(21), F.col("k")), lambda x: F.abs(x))
+    return items.withColumn("_v", votes).withColumn("analytic", F.transform("_v", lambda x: x / total(F.col("_v")))).drop("_v")
+
+
 @query("e12_analytic_metrics", "SELECT coalesce(deterministic::VARCHAR, 'all') AS scope, count(*) AS planned, count(*) FILTER (valid) AS valid, "
        + ", ".join(f"round(avg({c}) FILTER (valid), 6) AS {c}" for c in _ANALYTIC) + " FROM fx_analytic GROUP BY GROUPING SETS ((deterministic), ())")
 def _e12(spark, d):
-    votes = F.transform(F.slice("e", 21, 10), lambda x: F.abs(x))
-    items = decisions(spark, d).filter(F.col("primitive") == "choice").withColumn("_v", votes).withColumn(
-        "analytic", F.transform("_v", lambda x: x / total(F.col("_v")))).withColumn("deterministic", F.col("vec_id") % 2 == 0).drop("_v")
+    items = with_analytic(decisions(spark, d)).withColumn("deterministic", F.col("vec_id") % 2 == 0)
     return rounded(ops.analytic_metrics(ops.score_records(items.drop("e", "k"), run(items, "new"))))
 
 
@@ -179,6 +183,39 @@ def _e13(spark, d):
     return rounded(ops.suite_report(scored(spark, d, "old"), ("family", "primitive", "subset")))
 
 
+_SUITE_DIMS = ("family", "primitive", "deterministic")
+_SCOPES = ", ".join(f"({', '.join([*base, *more])})" for base in (("suite",), ("suite", "subset")) for more in ((), *[(x,) for x in _SUITE_DIMS]))
+_DOUBLES = ("count(*)::DOUBLE AS n, (count(*) FILTER (valid))::DOUBLE AS valid, sum(correct)::DOUBLE AS correct, sum(correct)::DOUBLE / count(*) AS accuracy, "
+            f"{wilson_sql('sum(correct)', 'count(*)', '-')} AS wilson_low, {wilson_sql('sum(correct)', 'count(*)', '+')} AS wilson_high, "
+            + ", ".join(f"avg({m}) FILTER (valid) AS {m}, (count({m}) FILTER (valid))::DOUBLE AS {m}_n" for m in M)
+            + ", (count(*) FILTER (valid AND tied))::DOUBLE AS top_ties, (count(*) FILTER (valid AND primitive = 'score'))::DOUBLE AS rounded_valid, "
+            "(count(*) FILTER (valid AND primitive = 'score' AND floor(ev + 0.5) = try_cast(label AS INT)))::DOUBLE AS rounded_correct, "
+            "avg((floor(ev + 0.5) = try_cast(label AS INT))::INT) FILTER (valid AND primitive = 'score') AS rounded_accuracy, "
+            "nullif(count(a_id), 0)::DOUBLE AS analytic_planned, CASE WHEN count(a_id) > 0 THEN (count(a_id) FILTER (valid))::DOUBLE END AS analytic_valid, "
+            + ", ".join(f"avg({c}) FILTER (valid) AS {c}" for c in _ANALYTIC))
+
+
+@query("e13_whole_suite", f"""
+WITH s AS (
+  SELECT n.*, 't' || ((n.vec_id // 12) % 2) AS suite, 'g' || (n.vec_id // 12) AS grp, n.vec_id % 7 < 4 AS deterministic, a.id AS a_id, {", ".join("a." + c for c in _ANALYTIC)},
+    n.vec_id IN (SELECT vec_id FROM (SELECT vec_id, logit, max(logit) OVER (PARTITION BY vec_id) AS top FROM fx_logits_new) WHERE logit = top GROUP BY vec_id HAVING count(*) > 1) AS tied
+  FROM fx_scored_new n LEFT JOIN fx_analytic a ON a.id = n.id AND (n.vec_id // 12) % 2 = 0),
+m AS (
+  SELECT suite, coalesce(subset, 'all') AS subset, CASE WHEN grouping(family) = 0 THEN 'family' WHEN grouping(primitive) = 0 THEN 'primitive' WHEN grouping(deterministic) = 0 THEN 'deterministic' ELSE 'all' END AS dimension,
+    coalesce(family, primitive, deterministic::VARCHAR, 'all') AS value, {_DOUBLES} FROM s GROUP BY GROUPING SETS ({_SCOPES})),
+g AS (
+  SELECT suite, coalesce(subset, 'all') AS subset, 'all' AS dimension, 'all' AS value, count(*)::DOUBLE AS groups, avg(a) AS group_macro, avg(o) AS group_macro_observed FROM (
+    SELECT suite, subset, avg(correct) AS a, sum(correct) / nullif(count(*) FILTER (valid), 0) AS o FROM s GROUP BY GROUPING SETS ((suite, grp), (suite, subset, grp))) GROUP BY ALL)
+SELECT suite, subset, dimension, value, measure, round(amount, 6) AS amount FROM (UNPIVOT m ON COLUMNS(* EXCLUDE (suite, subset, dimension, value)) INTO NAME measure VALUE amount)
+UNION ALL SELECT suite, subset, dimension, value, measure, round(amount, 6) FROM (UNPIVOT g ON COLUMNS(* EXCLUDE (suite, subset, dimension, value)) INTO NAME measure VALUE amount)""")
+def _e13_whole(spark, d):
+    block = F.floor(F.col("vec_id") / 12)
+    items = with_analytic(decisions(spark, d)).withColumns({
+        "suite": F.concat(F.lit("t"), (block % 2).cast("string")), "group": F.concat(F.lit("g"), block.cast("string")), "deterministic": F.col("vec_id") % 7 < 4})
+    items = items.withColumn("analytic", F.when(F.col("suite") == "t0", F.col("analytic")))
+    return rounded(ops.whole_suite_report(ops.score_records(items.drop("e", "k"), run(items, "new")), _SUITE_DIMS))
+
+
 @query("e14_held_out_report", f"SELECT coalesce(source, 'overall') AS scope, {_MEASURES} FROM fx_scored_new WHERE source NOT IN ('s0', 's1', 's2') GROUP BY GROUPING SETS ((source), ())")
 def _e14(spark, d):
     s = scored(spark, d, "new")
