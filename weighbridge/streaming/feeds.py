@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -34,21 +34,52 @@ def telemetry_windows(stream: DataFrame, width: str = "1 hour", delay: str = "10
         (F.col("max_used") - F.col("_first.used")).alias("max_delta"), "min_free")
 
 
+def _scored_arrivals(stream: DataFrame, records: DataFrame, delay: str) -> DataFrame:
+    """Predictions met with their records and scored; repeated ids within the watermark count once."""
+    once = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
+    joined = once.select("id", "ts", F.col("error").alias("_error"), F.col("answer").alias("_answer"), "latency_ms", F.lit(True).alias("_has")).join(records, "id")
+    return score_joined(joined)
+
+
+def _sums() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNull()).alias("valid"), F.count_if("correct").alias("correct"),
+        *[F.sum(m).alias(f"{m}_sum") for m in METRICS], *[F.count(m).alias(f"{m}_n") for m in METRICS],
+    ]
+
+
 def streaming_metrics(stream: DataFrame, records: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Score predictions as they arrive; per window and source: n, valid, correct and metric sums with their counts.
 
     Repeated ids within the watermark count once. Sums add up over windows, so totals to date come from the sink.
     """
-    once = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
-    joined = once.select("id", "ts", F.col("error").alias("_error"), F.col("answer").alias("_answer"), "latency_ms", F.lit(True).alias("_has")).join(records, "id")
-    scored = score_joined(joined)
-    out = scored.groupBy(F.window("ts", width), "source").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNull()).alias("valid"), F.count_if("correct").alias("correct"),
-        *[F.sum(m).alias(f"{m}_sum") for m in METRICS], *[F.count(m).alias(f"{m}_n") for m in METRICS],
-    )
+    out = _scored_arrivals(stream, records, delay).groupBy(F.window("ts", width), "source").agg(*_sums())
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in out.columns if c != "window"])
 
 
+def running_totals(stream: DataFrame, records: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
+    """Totals by source while a run is appended, held as state: every micro-batch writes the sources it changed under its number.
+
+    State is one row of sums a source, and ids within the watermark. A batch that runs again after a failure overwrites its own version,
+    so the sink never counts it twice.
+    """
+    totals = _scored_arrivals(stream, records, delay).groupBy("source").agg(*_sums())
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def totals_at(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The totals as they stood after a micro-batch, the last one by default: every source's newest row up to it."""
+    rows = spark.read.parquet(path)
+    if version is not None:
+        rows = rows.filter(F.col("version") <= version)
+    sums = [c for c in rows.columns if c not in ("source", "version")]
+    return rows.groupBy("source").agg(F.max_by(F.struct(*sums), "version").alias("s")).select("source", "s.*")
+
+
 def running_report(sums: DataFrame) -> DataFrame:
     """Totals to date per source from the streamed sums."""
     n = F.sum("n")
