@@ -237,3 +237,29 @@ def test_stages_take_odd_documents(spark, odd, tmp_path):
         out = stage(spark, odd, d)
         assert out.count() <= 12 and (name == "bpe" or out.columns == odd.columns), name
         assert stage(spark, odd.filter("false"), d).count() == 0, name
+
+
+def test_helper_names_of_the_caller_are_carried(spark):
+    docs = spark.createDataFrame([(i, f"Write to person{i}@example.org, +49 30 1234{i:04d}.", i, "k", [i], None) for i in range(40)],
+                                 "doc_id long, text string, _key long, _again string, _part array<long>, _row string")
+    docs = docs.withColumn("_before", F.col("doc_id") * 2)
+    rows = shards.balanced_shards(docs, 3).collect()
+    assert sorted((r["_key"], r["_again"], r["_part"][0], r["_row"], r["_before"]) for r in rows) == [(i, "k", i, None, 2 * i) for i in range(40)]
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(3) for k in range(sum(x["shard"] == s for x in rows))]
+    out = private_data.with_surrogates(docs, b"key").collect()
+    assert sorted((r["doc_id"], r["_key"], r["_again"], r["_before"]) for r in out) == [(i, i, "k", 2 * i) for i in range(40)]
+
+
+def test_redrawn_surrogates_beside_helper_names(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"Write to person{i}@example.org.", i, "k") for i in range(6)], "doc_id long, text string, _key long, _again string")
+    found = private_data.entities(docs, "text").select("kind", "value").filter("kind is not null").limit(1).withColumn("attempt", F.lit(1))
+    monkeypatch.setattr(private_data, "attempts", lambda entities, key: found)
+    out = private_data.with_surrogates(docs, b"key").collect()
+    assert sorted((r["_key"], r["_again"]) for r in out) == [(i, "k") for i in range(6)]
+    assert len({r["text"] for r in out}) == 6
+
+
+def test_six_hundred_languages(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 600} of language {i % 600} " * 4, f"l{i % 600}") for i in range(1200)], "doc_id long, text string, lang string")
+    windows, labels = language_id.training_sample(docs)
+    assert set(labels) == {f"l{i}" for i in range(600)} and len(windows) == len(labels)

@@ -142,3 +142,14 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def picked(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, whatever else the table holds, over enough partitions to use the cores."""
     return spread(docs.select(*columns))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has a column so called, for helper columns beside the caller's own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

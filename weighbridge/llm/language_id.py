@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weighbridge.llm.components import cut_counted
 from weighbridge.llm.flat import picked, text_slices
+from weighbridge.session import broadcast_if_small
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -23,7 +25,6 @@ EMBEDDING = 8
 TRAIN_DOCS = 600  # of each language at the most: the bound of the training sample
 TRAIN_WINDOWS = 8  # of each of these
 EPOCHS, BATCH, RATE = 8, 128, 0.004
-LANGUAGES = 512  # the most frequent ones are learned
 UNKNOWN = "und"
 BLOCK = 1024  # windows at once
 
@@ -156,17 +157,15 @@ def has_letter(text: str) -> Column:
 
 
 def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[np.ndarray, list[str]]:
-    """Windows and labels from about TRAIN_DOCS rows of each of the LANGUAGES most frequent languages, picked by a hash of the id.
+    """Windows and labels from about TRAIN_DOCS rows of every language, picked by a hash of the id.
 
     A row gives at most TRAIN_WINDOWS windows from random places of its whole text; short ends are left out.
     """
     rows = docs.filter(F.col(lang).isNotNull() & has_letter(text)).select(doc_id, text, lang)
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    if not counts:
+    # A table of one row a language, met by hash: any number of languages.
+    counts, n = cut_counted(rows.groupBy(F.col(lang).alias("_label")).agg(F.least(F.lit(1.0), TRAIN_DOCS / F.count(F.lit(1))).alias("_chance")))
+    if not n:
         return np.zeros((0, WINDOW), np.uint8), []
-    chance = F.lit(0.0)
-    for r in counts:
-        chance = F.when(F.col(lang) == r[lang], F.lit(min(1.0, TRAIN_DOCS / r["count"]))).otherwise(chance)
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches):
@@ -181,7 +180,8 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc
                     yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in windows[mine]], pa.binary()), pa.array([label] * len(mine), pa.string())],
                                                      names=["w", "label"])
 
-    got = rows.filter(draw < chance).select(text, F.col(lang).cast("string").alias(lang)).mapInArrow(run, "w binary, label string").collect()
+    drawn = rows.join(broadcast_if_small(counts, n), (F.col(lang) == F.col("_label")) & (draw < F.col("_chance")))
+    got = drawn.select(text, F.col(lang).cast("string").alias(lang)).mapInArrow(run, "w binary, label string").collect()
     got.sort(key=lambda r: (r["label"], bytes(r["w"])))
     return np.frombuffer(b"".join(bytes(r["w"]) for r in got), np.uint8).reshape(-1, WINDOW), [r["label"] for r in got]
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighbridge.llm.flat import Flat, byte_table, per_text, picked, span_hashes, text_slices
+from weighbridge.llm.flat import Flat, byte_table, per_text, picked, span_hashes, text_slices, unused
 from weighbridge.session import broadcast_if_small, cut
 
 ROUNDS = 8  # of the Feistel network
@@ -312,12 +312,13 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text", count: str
     rows = picked(docs, *[c for c in docs.columns if c != count])
     redrawn = cut(attempts(cut(entities(rows, text)), key))
     n = redrawn.count()
+    hashed, tried = unused(rows, "_key", "_again")
     if n:
         # Texts that hold a redrawn entity: a narrow join, keyed by the text's hash.
-        again = cut(_redrawn_by_text(rows, text, redrawn, n))
-        keyed = rows.withColumn("_key", F.xxhash64(text)).join(broadcast_if_small(again, again.count(), 100_000), "_key", "left").drop("_key")
+        again = cut(_redrawn_by_text(rows, text, redrawn, n)).withColumnsRenamed({"_key": hashed, "_again": tried})
+        keyed = rows.withColumn(hashed, F.xxhash64(text)).join(broadcast_if_small(again, again.count(), 100_000), hashed, "left").drop(hashed)
     else:
-        keyed = rows.withColumn("_again", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+        keyed = rows.withColumn(tried, F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     names = rows.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{count} int"])
 
@@ -331,7 +332,7 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text", count: str
                     found = finder.of(t)
                     if not found:
                         continue
-                    tries = {(a["kind"], a["value"]): a["attempt"] for a in part.column("_again")[int(i)].as_py() or []}
+                    tries = {(a["kind"], a["value"]): a["attempt"] for a in part.column(tried)[int(i)].as_py() or []}
                     pieces, at = [], 0
                     for start, end, kind, value in found:
                         made = maker.of(kind, value, tries.get((kind, value), 0))
@@ -341,7 +342,7 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text", count: str
                 columns = [pa.array(out, pa.string()) if c == text else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], names=[*names, count])
 
-    return keyed.select(*names, "_again").mapInArrow(run, schema)
+    return keyed.select(*names, tried).mapInArrow(run, schema)
 
 
 def _redrawn_by_text(rows: DataFrame, text: str, redrawn: DataFrame, n: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weighbridge.llm.flat import unused
 from weighbridge.session import cut
 
 KEY = "S16"
@@ -32,13 +33,13 @@ class Split:
     before: np.ndarray  # rows of the same shard in earlier parts
 
 
-def with_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Add size (UTF-8 bytes plus 8), text_crc32 and the 16-byte sort key; a null text counts as an empty one."""
+def with_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: str = "_key") -> DataFrame:
+    """Add size (UTF-8 bytes plus 8), text_crc32 and the 16-byte sort key, named key; a null text counts as an empty one."""
     whole = F.coalesce(F.col(text), F.lit(""))
     eight = lambda n: F.unhex(F.lpad(F.hex(n), 16, "0"))
     return docs.withColumns({
         "size": F.octet_length(whole).cast("bigint") + 8, "text_crc32": F.crc32(whole.cast("binary")),
-        "_key": F.concat(eight(F.xxhash64(whole)), eight(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)))),
+        key: F.concat(eight(F.xxhash64(whole)), eight(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)))),
     })
 
 
@@ -137,22 +138,24 @@ def balanced_shards(docs: DataFrame, shards: int = 24, text: str = "text", doc_i
     Columns of these names are replaced, all others are carried. Null texts weigh 8 bytes. Rows alike in text and id share a key and
     are never split apart; their slots are arbitrary among themselves. An empty table gives no rows.
     """
-    rows = with_key(docs.drop("law", "shard", "slot", "_key", "_part"), text, doc_id)
-    split = find_split(cut(rows.select("_key", "size")), shards)
+    docs = docs.drop("size", "text_crc32", "law", "shard", "slot")
+    key, part, row, before = unused(docs, "_key", "_part", "_row", "_before")
+    rows = with_key(docs, text, doc_id, key)
+    split = find_split(cut(rows.select(F.col(key).alias("_key"), "size")), shards)
     bounds = split.bounds
 
     @F.arrow_udf("int")
-    def part_of(key: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(bounds, _keys(key), "right").astype(np.int32))
+    def part_of(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, _keys(keys), "right").astype(np.int32))
 
     spark = docs.sparkSession
     parts = spark.createDataFrame([(int(p), int(s), int(b)) for p, (s, b) in enumerate(zip(split.shard, split.before, strict=True))],
-                                  "_part int, shard int, _before bigint")
-    dealt = rows.withColumn("_part", part_of("_key")).repartition(max(1, len(split.shard)), "_part")
-    numbered = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
+                                  f"{part} int, shard int, {before} bigint")
+    dealt = rows.withColumn(part, part_of(key)).repartition(max(1, len(split.shard)), part)
+    numbered = dealt.withColumn(row, F.row_number().over(Window.partitionBy(part).orderBy(key)))
     # One row of 16 bytes a part of PART_BYTES: 800,000 rows, 13 MB, for 100 TB.
-    return numbered.join(F.broadcast(parts), "_part").withColumns(
-        {"law": F.lit("bytes"), "slot": F.col("_before") + F.col("_row") - 1}).drop("_part", "_key", "_row", "_before")
+    return numbered.join(F.broadcast(parts), part).withColumns(
+        {"law": F.lit("bytes"), "slot": F.col(before) + F.col(row) - 1}).drop(part, key, row, before)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, text: str = "text", doc_id: str = "doc_id") -> None:
