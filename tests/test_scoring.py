@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from weighbridge.functions.probability import soft_label_map
 from weighbridge.operators import comparison as cmp
 from weighbridge.operators import scoring as ops
 
@@ -146,3 +147,10 @@ def test_whole_suite_report(spark):
     assert at("analytic_planned") == 1 and at("expected_accuracy") == 0.25 and at("tvd", "s", "primitive", "choice") == pytest.approx(0.25)
     assert at("analytic_planned", "null") is None and at("groups", "all", "family", "null") is None
     assert ops.whole_suite_report(s.limit(0)).count() == 0
+
+
+def test_votes_as_number_list_or_map(spark):
+    rows = [("p", 0.25, None, None), ("l", None, [1.0, 3.0], None), ("m", None, None, {"a": 2.0}), ("none", None, None, None)]
+    df = spark.createDataFrame(rows, "id string, number double, levels array<double>, options map<string,double>")
+    got = {r["id"]: r["soft"] for r in df.select("id", soft_label_map(F.col("number"), F.col("levels"), F.col("options")).alias("soft")).collect()}
+    assert got == {"p": {"0": 0.75, "1": 0.25}, "l": {"0": 1.0, "1": 3.0}, "m": {"a": 2.0}, "none": None}

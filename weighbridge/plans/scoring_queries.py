@@ -13,7 +13,8 @@ from weighbridge.operators.prompts import reverse_options
 from weighbridge.operators.readout import Calibration, answers
 from weighbridge.plans.fixtures import decisions, r6, run, table, traces
 from weighbridge.plans.registry import query, view
-from weighbridge.session import cut
+from weighbridge.session import cut, scratch
+from weighbridge.sources import records as src
 
 M = ops.METRICS
 
@@ -235,7 +236,10 @@ SELECT source, source IN ('s3', 's4') AS held_out, count(*) AS n, sum(correct)::
 FROM fx_scored_new GROUP BY source""")
 def _s06(spark, d):
     s = scored(spark, d, "new")
-    return rounded(ops.accuracy_table(ops.report(s), s.select("source").filter(F.col("source").isin("s3", "s4"))))
+    table_ = rounded(ops.accuracy_table(ops.report(s), s.select("source").filter(F.col("source").isin("s3", "s4"))))
+    path = scratch(spark, "accuracy") + "/accuracy.csv"
+    src.write_csv(table_, path)
+    return src.read_csv(spark, path, table_.schema)
 
 
 # --- two runs ------------------------------------------------------------------------------------------------

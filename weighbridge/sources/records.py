@@ -35,9 +35,15 @@ def write_split(df: DataFrame, path: str, compression: str | None = None) -> Non
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """Comma-separated with a header; fails if the file exists."""
     df.write.mode("errorifexists").option("header", "true").csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """What write_csv wrote; a header that names other columns is an error."""
+    return spark.read.option("header", "true").option("enforceSchema", "false").option("mode", "FAILFAST").schema(schema).csv(path)
+
+
 def prediction_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "json") -> DataFrame:
     """Predictions as they are appended: a streaming frame over files dropped into a folder."""
     reader = spark.readStream.schema(schema)
