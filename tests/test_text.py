@@ -29,6 +29,16 @@ def test_describe(spark):
     assert [one(spark, v, T.describe) for v in (None, "word", '"quoted"', '{"a":1}')] == ["", "word", "quoted", '{"a":1}']
 
 
+def test_text_behind_a_json_value_is_text(spark):
+    texts = ["8294846167456848 Inly onhe", '{"a":1} tail', "[1] [2]", "1, 2", '1, "b"', '1, "b": 2', "1] x", "1} x", '"q" rest', "true love", "null and void", "", " ", "1,", '"open', "[1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = rows.select("x", T.canonical_json(F.col("x")).alias("j"), T.describe(F.col("x")).alias("d"), T.digest(F.col("x")).alias("h")).collect()
+    for r in got:
+        want = json.dumps(r.x, ensure_ascii=False)
+        assert (r.j, r.d, r.h) == (want, r.x, hashlib.sha256(want.encode()).hexdigest())
+    assert [one(spark, v, T.canonical_json) for v in (" 12 ", '\n{"b":1,\n"a":"]}"}\n', '"x"')] == ["12", '{"a":"]}","b":1}', '"x"']
+
+
 def test_normalized_state(spark):
     value = {"k": ["  Straße ＡＢＣ ", {"Z": "ﬁn"}], "n": 3}
     norm = lambda s: " ".join(unicodedata.normalize("NFKC", s).casefold().split())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.functions.buckets import OPTION_BUCKETS, STATE_BUCKETS, bucket_order, option_bucket, state_bucket
 from weighbridge.functions.probability import argmax, expected_labels, softmax, total, tvd, wilson_high, wilson_low
-from weighbridge.functions.text import canonical_json, let
+from weighbridge.functions.text import canonical_json, let, parse_whole
 from weighbridge.operators.ranking import rank_percentile
 from weighbridge.operators.readout import Calibration, replay, same_answer
 from weighbridge.operators.resampling import poisson_intervals
@@ -41,7 +41,7 @@ def inventory_check(records: DataFrame, predictions: DataFrame) -> DataFrame:
 def paired_items(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row per record present in both scored runs, with both outcomes and probabilities. Dimensions come from old."""
     # Length of a string state, or of its canonical JSON when it is structured.
-    chars = F.when(F.try_parse_json("state").isNull(), F.char_length("state")).otherwise(F.char_length(canonical_json(F.col("state"))))
+    chars = F.when(parse_whole(F.col("state")).isNull(), F.char_length("state")).otherwise(F.char_length(canonical_json(F.col("state"))))
     dims = [c for c in ("source", "subset", "family", "group", "primitive", "label") if c in old.columns]
     picked = lambda: F.try_element_at("p", F.nullif(F.array_position("labels", F.col("chosen")), F.lit(0)).cast("int"))
     left = old.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weighbridge.functions.text import canonical_json, digest
+from weighbridge.functions.text import canonical_json, digest, parse_state
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -25,7 +25,7 @@ def decode_records(df: DataFrame, json_cols: tuple[str, ...] = ("state", "questi
     """JSON-encoded text columns to VARIANT, parsed once, plus the two identity hashes."""
     pair = F.concat(F.lit("["), canonical_json(F.col("state")), F.lit(","), canonical_json(F.col("question")), F.lit("]"))
     out = df.withColumns({"state_sha256": digest(F.col("state")), "input_sha256": F.sha2(pair, 256)})
-    return out.withColumns({c: F.coalesce(F.try_parse_json(c), F.col(c).cast("variant")) for c in json_cols if c in df.columns})
+    return out.withColumns({c: parse_state(F.col(c)) for c in json_cols if c in df.columns})
 
 
 def write_split(df: DataFrame, path: str, compression: str | None = None) -> None:
