@@ -472,8 +472,8 @@ SELECT vec_id, pos, v / sum(v) OVER (PARTITION BY vec_id) AS p FROM (
 _chunk_view("fx_wide_old", 0)
 _chunk_view("fx_wide_new", 1)
 view("fx_order_pairs", """
-SELECT d.id, 10 AS options, s.valid AND x.vec_id IS NOT NULL AS valid, s.chosen <> x.chosen AS flip, x.tvd, s.correct AS c1, (x.chosen = d.label)::INT AS c2
-FROM fx_decisions d JOIN (SELECT vec_id, chosen, correct, NOT (vec_id % 53 = 0 OR vec_id % 37 = 0) AS valid FROM fx_scored_old) s ON s.vec_id = d.vec_id
+SELECT d.id, 10 AS options, s.valid AND x.vec_id IS NOT NULL AS valid, s.chosen <> x.chosen AS flip, x.tvd, (s.chosen = d.label)::INT AS c1, (x.chosen = d.label)::INT AS c2
+FROM fx_decisions d JOIN (SELECT vec_id, chosen, NOT (vec_id % 53 = 0 OR vec_id % 37 = 0) AS valid FROM fx_scored_old) s ON s.vec_id = d.vec_id
 JOIN (SELECT a.vec_id, arg_min(a.key, (-a.q, -a.pos)) AS chosen, 0.5 * sum(abs(a.p - a.q)) AS tvd FROM (
   SELECT p.vec_id, p.pos, p.key, p.p * CASE WHEN p.vec_id % 43 = 0 THEN 1.01 ELSE 1 END AS p, exp(l.logit + n.nudge) / sum(exp(l.logit + n.nudge)) OVER (PARTITION BY p.vec_id) AS q
   FROM fx_p_old p JOIN fx_logits_old l ON l.vec_id = p.vec_id AND l.pos = p.pos
