@@ -154,3 +154,22 @@ def test_votes_as_number_list_or_map(spark):
     df = spark.createDataFrame(rows, "id string, number double, levels array<double>, options map<string,double>")
     got = {r["id"]: r["soft"] for r in df.select("id", soft_label_map(F.col("number"), F.col("levels"), F.col("options")).alias("soft")).collect()}
     assert got == {"p": {"0": 0.75, "1": 0.25}, "l": {"0": 1.0, "1": 3.0}, "m": {"a": 2.0}, "none": None}
+
+
+def test_sums_are_bound_once(spark):
+    """A sum inside a lambda is added up again for every value."""
+    from weighbridge.functions.probability import human_distribution, valid_probabilities
+
+    df = spark.createDataFrame([(["a", "b"], [0.5, 0.5], {"a": 1.0})], "labels array<string>, p array<double>, soft map<string,double>")
+    made = df.select(valid_probabilities(F.col("p"), F.lit(False)).alias("v"), human_distribution(F.col("soft"), F.col("labels")).alias("h"))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 2
+    assert made.first() == ((([0.5, 0.5], None)), ([1.0, 0.0], None))
+
+
+def test_an_answer_may_be_read_for_scoring_only(spark):
+    from weighbridge.operators.readout import SCORED, answers
+
+    df = spark.createDataFrame([("i", ("choice", "?", [("a", None), ("b", None)]), [([1.0, 3.0],)])], "id string, question struct<type:string,instructions:string,options:array<struct<key:string,description:string>>>, traces array<struct<logits:array<double>>>")
+    few, all_ = answers(df, fields=SCORED).first()["answer"], answers(df).first()["answer"]
+    assert few.asDict() == {f: all_[f] for f in SCORED}

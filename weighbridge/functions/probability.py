@@ -83,30 +83,28 @@ def valid_probabilities(p: Column, extra_keys: Column, allow_rounding: bool = Fa
     p holds one value per label (null where the answer lacks the key); extra_keys is true when the answer
     names a key that is no label.
     """
-    bad = extra_keys | ~F.coalesce(F.forall(p, lambda x: finite(x) & (x >= 0) & (x <= 1)), F.lit(False))
-    s = total(p)
-    off = (s <= 0) if allow_rounding else ((s <= 0) | (F.abs(s - 1) > 1e-6))
-    reason = F.when(bad, F.lit("invalid probability keys or values")).when(
-        off, F.lit("probabilities do not sum to one")
-    )
-    return F.struct(
-        F.when(reason.isNull(), F.transform(p, lambda x: x / s)).alias("p"), reason.alias("reason")
-    )
+    # Values, their sum and the reason are bound once: a division per value must not add them all up again.
+    def judged(v: Column) -> Column:
+        bad = ~F.coalesce(F.forall(v, lambda x: finite(x) & (x >= 0) & (x <= 1)), F.lit(False))
+        return let(total(v), lambda s: let(
+            F.when(extra_keys | bad, F.lit("invalid probability keys or values")).when(
+                (s <= 0) if allow_rounding else ((s <= 0) | (F.abs(s - 1) > 1e-6)), F.lit("probabilities do not sum to one")),
+            lambda reason: F.struct(F.when(reason.isNull(), F.transform(v, lambda x: x / s)).alias("p"), reason.alias("reason"))))
+
+    return let(p, judged)
 
 
 def human_distribution(soft: Column, labels: Column) -> Column:
     """Struct(h, reason) from a map label -> votes; both null when there are no votes."""
-    votes = F.transform(labels, lambda k: F.coalesce(F.try_element_at(soft, k), F.lit(0.0)))
-    s = total(votes)
-    reason = (
-        F.when(soft.isNull(), None)
-        .when(F.size(F.array_except(F.map_keys(soft), labels)) > 0, F.lit("unexpected human-label key"))
-        .when(~F.forall(votes, lambda x: finite(x) & (x >= 0)) | (s <= 0), F.lit("invalid human distribution"))
-    )
-    return F.struct(
-        F.when(soft.isNotNull() & reason.isNull(), F.transform(votes, lambda x: x / s)).alias("h"),
-        reason.alias("reason"),
-    )
+    def judged(votes: Column) -> Column:
+        return let(total(votes), lambda s: let(
+            F.when(soft.isNull(), None)
+            .when(F.size(F.array_except(F.map_keys(soft), labels)) > 0, F.lit("unexpected human-label key"))
+            .when(~F.forall(votes, lambda x: finite(x) & (x >= 0)) | (s <= 0), F.lit("invalid human distribution")),
+            lambda reason: F.struct(
+                F.when(soft.isNotNull() & reason.isNull(), F.transform(votes, lambda x: x / s)).alias("h"), reason.alias("reason"))))
+
+    return let(F.transform(labels, lambda k: F.coalesce(F.try_element_at(soft, k), F.lit(0.0))), judged)
 
 
 def soft_label_map(number: Column, levels: Column, options: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weighbridge.operators import calibration as cal
 from weighbridge.operators import comparison as cmp
 from weighbridge.operators import scoring as ops
-from weighbridge.operators.readout import answers
+from weighbridge.operators.readout import SCORED, answers
 from weighbridge.plans.fixtures import table
 from weighbridge.plans.registry import query, view
 from weighbridge.plans.scoring_queries import _FOUR, rounded, wilson_sql
@@ -43,7 +43,7 @@ def line_traces(recs: DataFrame, salt: str) -> DataFrame:
 
 def line_run(spark, d, salt: str) -> DataFrame:
     failed = F.substring(F.md5("id"), 1, 2) == ("00" if salt == "old" else "01")
-    return answers(line_traces(line_records(spark, d), salt)).select(
+    return answers(line_traces(line_records(spark, d), salt), fields=SCORED).select(
         "id", F.when(failed, "timeout").alias("error"), "input_sha256", "answer", "traces", F.lit(1.0).alias("latency_ms"))
 
 
