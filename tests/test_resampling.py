@@ -72,3 +72,12 @@ def test_clusters_widen_the_interval_of_repeated_items(spark):
     assert grouped.n == 150 and math.isclose(grouped["mean"], single["mean"]) and (grouped.high - grouped.low) > 3 * (single.high - single.low)
     means = [x for _, _, x in rows[::20]]
     assert abs((grouped.high - grouped.low) / 2 / (1.96 * np.std(means) / math.sqrt(150)) - 1) < 0.2  # as theory has it for 150 independent means
+
+
+def test_many_replicates_make_more_tasks_not_longer_ones(spark):
+    from weighbridge.session import spread
+
+    rows = spark.range(8).repartition(2)
+    cores = spark.sparkContext.defaultParallelism
+    assert [spread(rows, times=n).rdd.getNumPartitions() for n in (1, 10)] == [cores, 10 * cores]
+    assert spread(spark.range(8).repartition(20), times=3).rdd.getNumPartitions() == 60

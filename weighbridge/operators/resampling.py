@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.session import spread
 
+TASK_BLOCKS = 500  # blocks of replicates that a row brings at most to a task's share of the work
 PIECES = 4  # weights in one md5: eight hex digits each
 
 
@@ -68,8 +69,9 @@ def poisson_intervals(rows: DataFrame, key: str, measures: Mapping[str, tuple[Co
     names = list(measures)
     parts = [F.struct(*[F.when(top.isNotNull() & bottom.isNotNull(), c.cast("double")).alias(x) for x, c in (("top", top), ("bottom", bottom))]).alias(f"_m{i}")
              for i, (top, bottom) in enumerate(measures.values())]
-    narrow = spread(rows.select(*by, F.col(key).cast("string").alias("_key"), *parts))
     blocks = -(-resamples // PIECES)
+    # The work is rows times blocks: a task takes the rows of one core for TASK_BLOCKS blocks, however many resamples are drawn.
+    narrow = spread(rows.select(*by, F.col(key).cast("string").alias("_key"), *parts), times=-(-blocks // TASK_BLOCKS))
     # Block -1 has no hash and weight 1: the estimate itself comes out of the same pass.
     wide = narrow.withColumn("_block", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))))
     hashed = wide.withColumn("_md5", F.when(F.col("_block") >= 0, F.md5(F.concat_ws("|", F.lit(str(seed)), "_key", F.col("_block").cast("string")).cast("binary"))))

@@ -79,11 +79,11 @@ def broadcast_if_small(df: DataFrame, rows: int | None, limit: int = BROADCAST_R
     return df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
     """Hash-split a freshly read table that arrives in fewer pieces than there are cores.
 
     A table of many files comes back as it is; one small file would otherwise keep all work before the first
-    shuffle in a single task.
+    shuffle in a single task. Where rows multiply afterwards, `times` cuts the pieces so much finer.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    cores, pieces = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(max(cores, pieces) * times, *keys) if pieces < cores or times > 1 else df
