@@ -76,3 +76,18 @@ def test_no_evaluation_and_no_rows(spark):
     none = spark.createDataFrame([], "id string, text string")
     some = spark.createDataFrame([("1", "a b c " * 20)], "id string, text string")
     assert ops.ngram_contamination(none, some).count() == 0 and ops.ngram_contamination(some, none).first().hits == 0
+
+
+def test_packed_gram_counts(spark):
+    texts = [("s", "a b c d e f"), ("s", "a b c d e f"), ("t", "a b c x"), (None, "b c d e"), ("t", "a b"), ("u", None), ("s", "d e f d e f d e f")]
+    rows, grams = {}, {}
+    for s, t in texts:
+        words = (t or "").split()
+        mine = {tuple(words[i:i + 3]) for i in range(len(words) - 2)}
+        if mine:
+            rows[s] = rows.get(s, 0) + len(mine)
+            grams[s] = grams.get(s, set()) | mine
+    df = spark.createDataFrame(texts, "source string, text string").coalesce(1)
+    for held in (1, 3, 1 << 20):  # packed often, now and then, once
+        got = {r.source: (r.rows, r.grams) for r in ops.gram_counts(df, "source", n=3, held_grams=held).collect()}
+        assert got == {s: (rows[s], len(grams[s])) for s in rows}

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from weighbridge.functions.windows import Bitmap, first_of_each, slices, word_windows
 from weighbridge.session import broadcast_if_small, cut
 
+PART_BITS = 10  # parts of the hash space in which the n-grams of a group are counted
+GRAM_BYTES = 16  # two hashes of 64 bits
+HELD = 1 << 20  # n-grams a task holds before it packs them
 N = 13
 NEAR_DUPLICATE = 0.2
 BLOCK = 1 << 16  # bytes of a bitmap that travel as one row
@@ -105,24 +108,64 @@ def ngram_contamination(df: DataFrame, evaluation: DataFrame, text: str = "text"
         "hits", F.coalesce("hits", F.lit(0))).withColumn("ratio", F.col("hits") / F.nullif(F.col("grams"), F.lit(0)))
 
 
-def gram_counts(df: DataFrame, by: str, text: str = "text", n: int = N) -> DataFrame:
+def _packed(held: list, values: list, name: str, kind: pa.DataType) -> pa.RecordBatch:
+    """Held (group, hash, second hash) as one row for every group and part of the hash space: its n-grams end to end, repeats met here once."""
+    code, a, b = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((a, code))
+    code, a, b = code[order], a[order], b[order]
+    part = (a >> np.uint64(64 - PART_BITS)).astype(np.int32)
+    new, run = np.ones(len(a), bool), np.ones(len(a), bool)
+    run[1:] = (code[1:] != code[:-1]) | (part[1:] != part[:-1])
+    new[1:] = run[1:] | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(run)
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(new.astype(np.int64), at))]) * GRAM_BYTES
+    grams = np.stack([a[new], b[new]], axis=1)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([values[c] for c in code[at]], kind), pa.array(part[at]), pa.array(np.diff(np.append(at, len(a)))),
+         pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(grams)])], names=[name, "part", "n", "g"])
+
+
+def gram_counts(df: DataFrame, by: str, text: str = "text", n: int = N, held_grams: int = HELD) -> DataFrame:
     """(by, rows, grams): distinct n-grams of every text, summed, and the distinct ones of the group.
 
-    N-grams travel as two independent 64-bit hashes, and copies collapse in the task that meets them.
+    N-grams travel as two independent 64-bit hashes, packed by group and part of the hash space: 16 bytes each and no row of their own. Copies
+    collapse in the task that meets them. A part of a group is counted by one task; there are 2^PART_BITS of them a group.
     """
     kind = df.schema[by].dataType.simpleString()
 
     def run(batches):
+        values, codes, held, size = [], {}, [], 0
         for batch in batches:
+            column = batch.column(by)
+            told = column.dictionary_encode(null_encoding="encode")
+            own = []
+            for value in told.dictionary.to_pylist():
+                if value not in codes:
+                    codes[value] = len(values)
+                    values.append(value)
+                own.append(codes[value])
+            group = np.array(own, np.int64)[told.indices.to_numpy(zero_copy_only=False)] if own else np.zeros(0, np.int64)
             for low, _, data, offsets in slices(batch.column("_lower")):
                 one, two = word_windows(data, offsets, n), word_windows(data, offsets, n, seed=1)
                 mine = first_of_each(one.owner, one.hashes)
-                yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(one.owner[mine] + low)), pa.array(one.hashes[mine].view(np.int64)),
-                                                  pa.array(two.hashes[mine].view(np.int64))], names=[by, "a", "b"])
-
-    grams = df.select(by, F.lower(text).alias("_lower")).mapInArrow(run, f"`{by}` {kind}, a bigint, b bigint")
-    per = grams.groupBy(by, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy(by).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("grams"))
+                if len(mine):
+                    held.append((group[one.owner[mine] + low], one.hashes[mine], two.hashes[mine]))
+                    size += len(mine)
+                if size >= held_grams:
+                    yield _packed(held, values, by, column.type)
+                    held, size = [], 0
+        if held:
+            yield _packed(held, values, by, column.type)
+
+    def count(packed: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(packed.column("g").to_pylist()), np.uint64).reshape(-1, 2)
+        raw = raw[np.lexsort((raw[:, 1], raw[:, 0]))]
+        distinct = 1 + int((raw[1:] != raw[:-1]).any(axis=1).sum())
+        return pa.table([packed.column(by).slice(0, 1), pa.array([int(np.sum(packed.column("n").to_numpy()))]), pa.array([distinct])], names=[by, "rows", "grams"])
+
+    grams = df.select(by, F.lower(text).alias("_lower")).mapInArrow(run, f"`{by}` {kind}, part int, n bigint, g binary")
+    per = grams.groupBy(by, "part").applyInArrow(count, f"`{by}` {kind}, rows bigint, grams bigint")
+    return per.groupBy(by).agg(F.sum("rows").alias("rows"), F.sum("grams").alias("grams"))
 
 
 def near_duplicate_filter(measured: DataFrame, max_ratio: float = NEAR_DUPLICATE) -> DataFrame:
