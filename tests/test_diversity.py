@@ -59,3 +59,16 @@ def test_report(spark):
 
 def test_nothing(spark):
     assert diversity.diversity_report(spark.createDataFrame([], "source string, state string")).count() == 0
+
+
+def test_sets_leave_slice_by_slice(spark):
+    import pyarrow as pa
+
+    from weighbridge.functions.windows import SLICE
+    from weighbridge.operators import diversity
+
+    text = "a b c d e f " * (SLICE // 20)
+    lists = list(diversity._sets(pa.RecordBatch.from_arrays([pa.array([text] * 4)], names=["t"]), 5))
+    assert len(lists) > 1 and [row for rows in lists for row, _ in rows] == [0, 1, 2, 3]
+    assert {len(mine) for rows in lists for _, mine in rows} == {6}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"

@@ -27,13 +27,14 @@ def template(state: Column) -> Column:
 
 
 def _sets(batch: pa.RecordBatch, n: int):
-    """(row, sorted distinct gram hashes) of every row of a batch with a lower-cased column t."""
+    """Lists of (row, sorted distinct gram hashes) of the rows of a batch with a lower-cased column t, one list for every slice of its bytes."""
     for low, _, data, offsets in slices(batch.column("t")):
         w = word_windows(data, offsets, n)
         mine = first_of_each(w.owner, w.hashes)  # by text, then hash
         bounds = np.searchsorted(w.owner[mine], np.arange(len(offsets)))
-        for i in range(len(offsets) - 1):
-            yield low + i, w.hashes[mine[bounds[i]: bounds[i + 1]]]
+        hashes = w.hashes[mine]
+        del w, mine
+        yield [(low + i, hashes[bounds[i]: bounds[i + 1]]) for i in range(len(offsets) - 1)]
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
@@ -46,8 +47,9 @@ def _counters(texts: DataFrame, n: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for _, mine in _sets(batch, n):
-                np.add.at(total, _cells(mine), 1)
+            for rows in _sets(batch, n):
+                for _, mine in rows:
+                    np.add.at(total, _cells(mine), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
@@ -67,20 +69,24 @@ def _prefixes(texts: DataFrame, rarity, n: int, percent: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            keys, groups, rows = batch.column("key").to_pylist(), batch.column("of").to_pylist(), []
-            for row, mine in _sets(batch, n):
-                if not len(mine) or keys[row] in seen:
-                    continue
-                if len(seen) >= KEPT:
-                    seen.clear()
-                seen.add(keys[row])
-                rows.append((keys[row], len(mine), _places(mine, rarity.value)[: len(mine) - (percent * len(mine) + 99) // 100 + 1], groups[row]))
-            if rows:
-                length = [len(r[2]) for r in rows]
-                ends = np.cumsum(length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([r[0] for r in rows], length)), pa.array(np.repeat([r[3] for r in rows], length)), pa.array(np.repeat([r[1] for r in rows], length).astype(np.int32)),
-                     pa.array((np.arange(ends[-1]) - np.repeat(ends - length, length)).astype(np.int32)), pa.array(np.concatenate([r[2] for r in rows]))], names=["key", "of", "size", "i", "g"])
+            keys, groups = batch.column("key").to_numpy(), batch.column("of").to_numpy()
+            # What a slice gives leaves the task before the next slice is read.
+            for sets in _sets(batch, n):
+                rows = []
+                for row, mine in sets:
+                    key = int(keys[row])
+                    if not len(mine) or key in seen:
+                        continue
+                    if len(seen) >= KEPT:
+                        seen.clear()
+                    seen.add(key)
+                    rows.append((key, len(mine), _places(mine, rarity.value)[: len(mine) - (percent * len(mine) + 99) // 100 + 1], groups[row]))
+                if rows:
+                    length = [len(r[2]) for r in rows]
+                    ends = np.cumsum(length)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat([r[0] for r in rows], length)), pa.array(np.repeat([r[3] for r in rows], length)), pa.array(np.repeat([r[1] for r in rows], length).astype(np.int32)),
+                         pa.array((np.arange(ends[-1]) - np.repeat(ends - length, length)).astype(np.int32)), pa.array(np.concatenate([r[2] for r in rows]))], names=["key", "of", "size", "i", "g"])
 
     return texts.mapInArrow(run, "key bigint, of bigint, size int, i int, g bigint")
 
@@ -97,9 +103,9 @@ def _near(pairs: DataFrame, texts: DataFrame, rarity, n: int, percent: int) -> D
 
     def fetch(batches):
         for batch in batches:
-            rows = list(_sets(batch, n))
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array([r for r, _ in rows], pa.int64())), pa.array([_places(m, rarity.value) for _, m in rows], pa.list_(pa.int64()))],
-                                             names=["key", "s"])
+            for rows in _sets(batch, n):
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array([r for r, _ in rows], pa.int64())), pa.array([_places(m, rarity.value) for _, m in rows], pa.list_(pa.int64()))],
+                                                 names=["key", "s"])
 
     named = texts.join(broadcast_if_small(wanted, wanted.count()), "key", "left_semi").mapInArrow(fetch, "key bigint, s array<bigint>")
     sets = cut(named)  # copies of a state may stand here more than once: the same answer twice

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # A batch for a Python worker is bounded by its bytes as well: ten thousand rows may be ten thousand long texts.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 # Rows a broadcast side may have after it was counted; every such side is a few narrow columns.
