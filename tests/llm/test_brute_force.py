@@ -55,6 +55,25 @@ def test_near_duplicates_inside_large_buckets(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == {i: i - i % 2 for i in range(160)}
 
 
+def test_a_group_of_texts_too_far_apart_makes_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    body, texts = words(150), []
+    for _ in range(60):  # all of one origin, which is not in the table; no two are similar enough
+        text = list(body)
+        for at in rng.choice(np.arange(10, 140, 10), 2, replace=False):
+            text[at] = words(1)[0]
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    known, idf = near_dup.word_frequencies(docs, "text")
+    v = [near_dup._vector(t, known, idf) for t in texts]
+    assert all(0.4 < near_dup.weighted_jaccard(*v[a], *v[b]) < 0.8 for a in range(60) for b in range(a))
+    compared, verified = [], near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == {i: i for i in range(60)}
+    assert sum(compared) < 10 * 60  # there are 1,770 pairs
+
+
 def test_sampling_agrees_with_weighted_similarity():
     rng = np.random.default_rng(5)
     sampler, hits, want = near_dup.Sampler(), 0, 0.0

@@ -6,10 +6,11 @@ themselves.) A sample draws one (shingle, level) of a text so that two texts dra
 similarity. SAMPLES samples make BANDS bands; texts that agree on a band share a bucket and are candidates.
 
 Candidates are verified on the exact weighted Jaccard similarity of the whole texts. A bucket never lists its pairs. Its members meet one
-leader, the most central member, and what is linked becomes a class; a bucket of one class is done. Members of several classes in a
-bucket of at most SMALL are compared. What larger buckets leave is compared over prefixes: in a fixed order of all shingles, rare ones first, two
-texts of similarity SIMILAR share one of the shingles before the last SIMILAR of their weight. That is certain, so large buckets lose no pair that
-shares a band, whatever they hold: two texts of similarity 0.8 share a band with a chance of 0.99997.
+leader, the most central member, and what is linked becomes a class; a bucket of one class is done, and one of two members has had its pair. All
+members of the other buckets are compared over prefixes: in a fixed order of all shingles, rare ones first, two texts of similarity
+SIMILAR share one of the shingles before the last SIMILAR of their weight, and what lies behind it is heavy enough for the common part. That is
+certain, so no pair that shares a band is lost: two texts of similarity 0.8 share a band with a chance of 0.99997. Members of a large
+group of copies that are too far from each other differ in rare shingles, which come first and weigh too much: they are no candidates.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ BANDS, ROWS = 20, 4
 SAMPLES = BANDS * ROWS
 SIMILAR = 0.8
 RARE = 1000  # words in fewer than one of so many texts weigh alike; at most RARE x (mean distinct words of a text) words are frequent
-SMALL = 64  # members of a bucket whose pairs are simply compared
+SLACK = 1e-4  # for sums in another order
+COMMON = (SIMILAR - SLACK) / (1 + SIMILAR - SLACK)  # of the weight of two similar texts together, what they share weighs at least
+SMALL = 2  # members of a bucket whose pairs are simply compared
 COUNTERS = 1 << 20  # of shingles, for their order; shingles that share one are taken for as frequent as both
 DRAWS = 1 << 14  # independent draws of (r, c, beta), picked by a hash of shingle and sample
 BLOCK = 192  # shingles at once
@@ -213,7 +216,7 @@ def weighted_jaccard(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.ndar
 
 def _pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
     """(node, a, b, shared): members and the leaders of their buckets that may be similar: other class, weights near enough."""
-    near = F.least("weight", "w2") >= F.lit(SIMILAR - 1e-4) * F.greatest("weight", "w2")
+    near = F.least("weight", "w2") >= F.lit(SIMILAR - SLACK) * F.greatest("weight", "w2")
     met = members.join(leaders, "bucket").filter((F.col("node") != F.col("leader")) & near)
     if "root" in members.columns:
         met = met.filter(F.col("root") != F.col("root2"))
@@ -255,13 +258,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     small = members.filter(F.col("n") <= SMALL)
     rest = _pairs(small, _all_lead(small)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
     roots, classes, tested = _linked(rest, roots, classes, tested, rows, known, idf, text, doc_id)
-    large, n = cut_counted(members.filter(F.col("n") > SMALL).select("node", "weight").distinct())
+    large, n = cut_counted(members.filter(F.col("n") > SMALL).select("node").distinct())
     if n:
-        meet = prefixes(large, n, rows, known, idf, text, doc_id)
-        meet = meet.join(broadcast_if_small(roots, classes), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = meet.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("bucket")
-        meet = cut(meet.join(several, "bucket"))
-        rest = _pairs(meet, _all_lead(meet)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        met = prefixes(large, n, rows, known, idf, text, doc_id)
+        met = met.join(broadcast_if_small(roots, classes), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rest = _prefix_pairs(met).join(tested, ["a", "b"], "left_anti")
         roots, classes, tested = _linked(rest, roots, classes, tested, rows, known, idf, text, doc_id)
     found = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest", "left").join(broadcast_if_small(roots, classes), "node", "left")
     return found.select(F.col("id").alias(doc_id), F.when(F.col("id").isNotNull(), F.coalesce("root", "node", "id")).alias("class_id"))
@@ -283,22 +284,38 @@ def _linked(pairs: DataFrame, roots: DataFrame, classes: int, tested: DataFrame,
     return roots, classes, tested
 
 
-def prefix(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a text, in the order of their counters, up to the last that SIMILAR of the weight does not lie behind.
+def _prefix_pairs(prefixes: DataFrame) -> DataFrame:
+    """(a, b): pairs of different classes that share a shingle of their prefixes and leave enough weight behind it on either side.
+
+    What two similar texts share weighs COMMON of both together at least, and all of it lies at or behind their first common shingle. Of the
+    lighter text COMMON of twice its own weight must lie there, so its prefix is the shorter one.
+    """
+    light = prefixes.filter(F.col("behind") >= 2 * COMMON * F.col("weight"))
+    light = light.select(F.col("bucket").alias("bucket2"), F.col("node").alias("other"), F.col("weight").alias("w2"), F.col("behind").alias("behind2"), F.col("root").alias("root2"))
+    lighter = (F.col("w2") < F.col("weight")) | ((F.col("w2") == F.col("weight")) & (F.col("other") < F.col("node")))
+    enough = F.least("behind", "behind2") >= COMMON * (F.col("weight") + F.col("w2"))
+    near = F.col("w2") >= (SIMILAR - SLACK) * F.col("weight")
+    met = prefixes.join(light, (F.col("bucket") == F.col("bucket2")) & (F.col("root") != F.col("root2")) & lighter & near & enough)
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def prefix(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, weight at and behind each) of a text, in the order of their counters, up to the last that SIMILAR of the weight does not lie behind.
 
     The common part of two similar texts weighs SIMILAR of either one at least, so its first shingle is in both prefixes.
     """
     order = np.lexsort((hashes, counts[(hashes % np.uint64(COUNTERS)).astype(np.intp)]))
     behind = np.cumsum(weights[order][::-1], dtype=np.float64)[::-1]
-    return hashes[order][behind >= (SIMILAR - 1e-4) * behind[0]]
+    keep = behind >= (SIMILAR - SLACK) * behind[0]
+    return hashes[order][keep], behind[keep]
 
 
 def prefixes(nodes: DataFrame, n: int, docs: DataFrame, known: np.ndarray, idf: np.ndarray, text: str, doc_id: str) -> DataFrame:
-    """(node, weight, bucket): the prefix of every node's text; shingles are ordered by how many of these texts hold them."""
+    """(node, weight, bucket, behind): the prefix of every node's text; shingles are ordered by how many of these texts hold them."""
     kind = docs.schema[doc_id].dataType.simpleString()
     met = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).join(broadcast_if_small(nodes, n), "node")
     # Rows that repeat an id are all taken; their prefixes are of one class.
-    texts = cut(met.select("node", "weight", "_t"))
+    texts = cut(met.select("node", "_t"))
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -318,12 +335,14 @@ def prefixes(nodes: DataFrame, n: int, docs: DataFrame, known: np.ndarray, idf:
         for batch in batches:
             for part, raw, offsets in text_slices(batch, "_t"):
                 hashes, weights, bounds = weighted_shingles(raw, offsets, known, idf)
-                mine = [prefix(hashes[a:b], weights[a:b], counts) if b > a else hashes[:0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                take = pa.array(np.repeat(np.arange(len(mine)), [len(m) for m in mine]))
-                yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("weight").take(take), pa.array(np.concatenate(mine).view(np.int64))],
-                                                 names=["node", "weight", "bucket"])
-
-    return cut(texts.mapInArrow(run, f"node {kind}, weight float, bucket bigint"))
+                mine = [(i, weights[a:b].sum(dtype=np.float64), *prefix(hashes[a:b], weights[a:b], counts)) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+                if mine:
+                    at, weight, bucket, behind = zip(*mine, strict=True)
+                    each = [len(x) for x in bucket]
+                    yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(np.repeat(at, each))), pa.array(np.repeat(weight, each)),
+                                                      pa.array(np.concatenate(bucket).view(np.int64)), pa.array(np.concatenate(behind))], names=["node", "weight", "bucket", "behind"])
+
+    return cut(texts.mapInArrow(run, f"node {kind}, weight double, bucket bigint, behind double"))
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame, int]:
