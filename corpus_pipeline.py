@@ -50,9 +50,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     prepared(spark)
     coder = bpe.ByteBPE(spark, tokenizer_path())
-    encoded = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("_text"), coder.encode("text").alias("ids"))
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
-                          (coder.decode("ids") == F.col("_text")).alias("round_trip"))
+    coded = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("_text"), coder.round_trip("text").alias("_coded"))
+    return coded.select("doc_id", "lang", "source", F.size("_coded.ids").cast("bigint").alias("n_tokens"), F.col("_coded.ids").alias("ids"),
+                        (F.col("_coded.text") == F.col("_text")).alias("round_trip"))
 
 
 STAGES = [("quality_classifier", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination),

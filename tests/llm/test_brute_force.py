@@ -170,3 +170,14 @@ def test_pipeline_keeps_one_of_each_class(spark, docs):
     for i in ids:
         texts[docs[i].text].append(i)
     assert all(len(v) == 1 for v in texts.values())
+
+
+def test_ids_and_their_text_come_from_one_python_worker(spark, docs):
+    from weighbridge.llm import bpe
+
+    out = corpus_pipeline.tokens(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    coder = bpe.ByteBPE(spark, tokenizer_path())
+    apart = {r.doc_id: r.ids for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", coder.encode("text").alias("ids")).collect()}
+    rows = out.collect()
+    assert {r.doc_id: r.ids for r in rows} == apart and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)

@@ -26,7 +26,8 @@ from weighbridge.llm.flat import SLICE_BYTES
 # Fixed value: the published splitting pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 60
-WORDS_KEPT = 1 << 19  # words remembered by a worker; the memory starts anew when it is full
+WORDS_KEPT = 1 << 18  # words met last that a worker remembers, and as many met before them
+ARCS_KEPT = 1 << 19  # pairs of a state and an arc that a worker remembers; the memory starts anew when it is full
 LONGEST_KEPT = 64
 
 
@@ -79,7 +80,7 @@ class Automaton:
                 self._add_label(i)
         for rank, (a, b, c) in enumerate(vocabulary.merges):
             self._gadget(rank, a, b, c)
-        self.allowed: dict[tuple[int, int], bool] = {}
+        self.allowed: dict[int, bool] = {}  # by state * labels + arc
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
         if self.left[c] < 0:
@@ -103,7 +104,8 @@ class Automaton:
         The state descends from the states of its last part, of that part's last part and so on, each as it stood when the next was
         made. The arc was built from its first part, and so on: it is missing if one of these was lost before it was built upon.
         """
-        known = self.allowed.get((state, arc))
+        pair = state * len(self.labels) + arc
+        known = self.allowed.get(pair)
         if known is None:
             known, s, until = True, state, NEVER
             while s >= 0 and known:
@@ -115,9 +117,9 @@ class Automaton:
                         break
                     a, built = self.left[a], self.born[a]
                 s, until = self.right[s], self.born[s]
-            if len(self.allowed) > 1 << 21:
+            if len(self.allowed) >= ARCS_KEPT:
                 self.allowed.clear()
-            self.allowed[state, arc] = known
+            self.allowed[pair] = known
         return known
 
     def encode(self, word: bytes) -> list[int]:
@@ -167,15 +169,18 @@ class Codec:
         self.special = vocabulary.special
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         sizes = np.array([len(x) for x in vocabulary.labels], np.int64)
         self.size, self.begin = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.ink = np.frombuffer(b"".join(vocabulary.labels), np.uint8)
 
     def _word(self, word: str) -> bytes:
-        ids = array("i", self.automaton.encode(word.encode())).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.automaton.encode(word.encode())).tobytes()
         if len(word) <= LONGEST_KEPT:
             if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
+                self.older, self.words = self.words, {}
             self.words[word] = ids
         return ids
 
@@ -201,6 +206,27 @@ class Codec:
         edge = place[bounds]
         return [out[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
+    def encoded(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of every text."""
+        parts = [b"" if t is None else self.encode(t) for t in texts.to_pylist()]
+        bounds = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+    def decoded(self, lists: pa.ListArray) -> pa.Array:
+        """The text of every list of ids."""
+        out: list[str | None] = []
+        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(lists):  # some MB of output at a time
+            stop = min(len(lists), max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1))
+            some = self.emit(flat[offsets[at]: offsets[stop]], offsets[at: stop + 1] - offsets[at])
+            out += [x.decode("utf-8", "replace") for x in some]
+            at = stop
+        if lists.null_count:
+            valid = lists.is_valid().to_pylist()
+            out = [x if v else None for x, v in zip(out, valid, strict=True)]
+        return pa.array(out, pa.string())
+
 
 def codec(shared, name: str) -> Codec:
     """One codec a worker process and vocabulary; kept with the interpreter, as task functions are made anew for every task."""
@@ -225,10 +251,7 @@ class ByteBPE:
 
         @F.arrow_udf("array<int>")
         def run(texts: pa.Array) -> pa.Array:
-            c = codec(shared, name)
-            parts = [b"" if t is None else c.encode(t) for t in texts.to_pylist()]
-            bounds = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+            return codec(shared, name).encoded(texts)
 
         # Called non-deterministic so that the optimizer does not copy it into every expression over the ids.
         return run.asNondeterministic()(text)
@@ -239,18 +262,21 @@ class ByteBPE:
 
         @F.arrow_udf("string")
         def run(lists: pa.Array) -> pa.Array:
-            c = codec(shared, name)
-            out: list[str | None] = []
-            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
-            at = 0
-            while at < len(lists):  # some MB of output at a time
-                stop = min(len(lists), max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1))
-                some = c.emit(flat[offsets[at]: offsets[stop]], offsets[at: stop + 1] - offsets[at])
-                out += [x.decode("utf-8", "replace") for x in some]
-                at = stop
-            if lists.null_count:
-                valid = lists.is_valid().to_pylist()
-                out = [x if v else None for x, v in zip(out, valid, strict=True)]
-            return pa.array(out, pa.string())
+            return codec(shared, name).decoded(lists)
 
         return run(ids)
+
+    def round_trip(self, text: str | Column) -> Column:
+        """struct<ids: array<int>, text: string>: the ids of the text as encode() has them, and what decode() makes of these ids.
+
+        Both come from one Python worker a task; encode() and decode() in one query take two, each with its own vocabulary and words.
+        """
+        shared, name = self.shared, self.name
+
+        @F.arrow_udf("struct<ids: array<int>, text: string>")
+        def run(texts: pa.Array) -> pa.Array:
+            c = codec(shared, name)
+            ids = c.encoded(texts)
+            return pa.StructArray.from_arrays([ids, c.decoded(ids)], names=["ids", "text"])
+
+        return run.asNondeterministic()(text)
