@@ -114,3 +114,45 @@ def test_whole_numbers_stay_whole():
     assert [type(planted.exact(t)) for t in ("1,200", "3.0", "0.5")] == [int, int, planted.Fraction]
     assert type(planted.evaluate("6/3")) is int and planted.evaluate("2**-1") == planted.Fraction(1, 2)
     assert [planted._rounded(n, 10) for n in (5, 15, 25, 26, 0)] == [round(planted.Fraction(n, 10)) for n in (5, 15, 25, 26, 0)]
+
+
+def test_lines_with_the_same_key_stay_single_rows(spark, tmp_path):
+    import check
+
+    base = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{base}/lineitem.parquet").filter("l_orderkey < 100")
+    lines.unionByName(lines).coalesce(1).write.parquet(str(tmp_path / "folder"))
+    next((tmp_path / "folder").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
+    (tmp_path / "part.parquet").write_bytes(open(f"{base}/part.parquet", "rb").read())
+    status, rows, detail = check.compare(spark, check.database(str(tmp_path)), "c09_changed_numbers", str(tmp_path))
+    assert (status, rows) == ("ok", 2 * lines.count()), detail
+
+
+def test_all_variants_come_from_one_reading(spark):
+    from weighbridge.plans.catalog import QUERIES
+
+    plan = QUERIES["c09_changed_numbers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # The order lines and the parts they are joined with, each once; nothing is written and read back between.
+    assert plan.count("parquet") == 2 and plan.count("Join ") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_kept_columns_may_be_named_like_helpers(spark):
+    rows = [("train", i, PROBLEM, GOOD, f"b{i}", -i) for i in range(24)]
+    df = spark.createDataFrame(rows, "split string, row int, question string, answer string, body string, target int")
+    got = planted.planted_errors(df, "seed", keep=["body", "target"]).collect()
+    assert sorted((r["row"], r["body"], r["target"]) for r in got) == [(i, f"b{i}", -i) for i in range(24)]
+    assert all(r["reason"] is None for r in got)
+
+
+def test_a_long_number_does_not_stop_the_others(spark):
+    long = "It is 9.\n#### 123456789012345678901234"
+    for r in judged(spark, [long] * 24):
+        if r["variant"] == "final_wrong":
+            assert 0 < abs(int(json.loads(r["state"])["response"].rsplit(" ", 1)[1]) - 123456789012345678901234) <= 10
+
+
+def test_a_number_stands_behind_no_digit_point_or_comma():
+    pattern = re.compile(planted.NUMBER)
+    found = lambda text: [m[0] for m in pattern.finditer(text)]
+    assert found("7 1,234 x12.5.6 .5 1,23 12,345,6 a1") == ["7", "1,234", "12.5", "1", "12", "1"]
+    assert pattern.match("3=3") and not pattern.match("a3") and not pattern.match("1.5", 2)

@@ -214,12 +214,14 @@ _SKIPPED = """CASE WHEN variant LIKE 'step%' AND q * s = q * s + n THEN 'every i
 SELECT row, variant, CASE variant WHEN 'gold' THEN '1' ELSE '0' END AS label, {_SKIPPED} AS reason,
   CASE WHEN {_SKIPPED} = '' THEN CASE variant WHEN 'gold' THEN 0 WHEN 'final_wrong' THEN 2 WHEN 'step_wrong' THEN 1 ELSE 4 END END AS changed FROM fx_worked""")
 def _c09_changed(spark, d):
-    given = solutions(spark, d)
+    judged = planted.planted_errors(solutions(spark, d), SEED, keep=["answer"])
     plain = F.concat(F.regexp_replace(F.substring_index("answer", "\n#### ", 1), planted.MARKUP, ""), F.lit("\nAnswer: "), F.substring_index("answer", "\n#### ", -1))
-    both = planted.planted_errors(given, SEED).join(given.select("row", plain.alias("plain")), "row")
-    numbers = lambda c: F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit(planted.NUMBER), F.lit(0))
-    differ = F.filter(F.zip_with(numbers("plain"), numbers(F.get_json_object("state", "$.response")), lambda a, b: ~a.eqNullSafe(b)), lambda x: x)
-    return both.select("row", "variant", "label", F.coalesce("reason", F.lit("")).alias("reason"), F.when(F.col("reason").isNull(), F.size(differ)).alias("changed"))
+    both = judged.select("row", "variant", "label", "reason", plain.alias("plain"), F.get_json_object("state", "$.response").alias("response"))
+    numbers = lambda c: F.regexp_extract_all(c, F.lit(planted.NUMBER), F.lit(0))
+    differ = F.filter(F.zip_with(numbers("plain"), numbers("response"), lambda a, b: ~a.eqNullSafe(b)), lambda x: x)
+    # Equal texts have equal numbers.
+    changed = F.when(F.col("plain") == F.col("response"), 0).otherwise(F.size(differ))
+    return both.select("row", "variant", "label", F.coalesce("reason", F.lit("")).alias("reason"), F.when(F.col("reason").isNull(), changed).alias("changed"))
 
 
 @query("c10_skip_report", f"SELECT variant, {_SKIPPED} AS reason, count(*) AS rows FROM fx_worked GROUP BY ALL")
